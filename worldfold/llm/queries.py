@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, toxicity
+from . import bpe, exact_dedup, jaccard_join, toxicity
 
 RANKS = os.environ.get("WORLDFOLD_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,17 @@ select doc_id, keep_id, n_copies from (
 @query
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_pairs(_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op9_ngram_jaccard_join"] = """
+with w as (select doc_id, regexp_extract_all(lower(text), '[0-9a-z\\x{80}-\\x{10FFFF}]+') ws from documents where doc_id is not null),
+g as (select distinct doc_id, unnest(case when len(ws) >= 2 then [ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))] else ws end) as gram from w),
+s as (select doc_id, count(*) n from g group by doc_id),
+o as (select a.doc_id as doc_a, b.doc_id as doc_b, count(*) c from g a join g b on a.gram = b.gram and a.doc_id < b.doc_id group by 1, 2)
+select doc_a, doc_b, c / (x.n + y.n - c) as jaccard
+from o join s x on x.doc_id = doc_a join s y on y.doc_id = doc_b where c >= 0.7 * (x.n + y.n - c) - 1e-9"""
