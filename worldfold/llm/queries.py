@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, jaccard_join, toxicity
+from . import bpe, decontaminate, exact_dedup, jaccard_join, substring_dedup, suffix_dedup, toxicity
 
 RANKS = os.environ.get("WORLDFOLD_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,24 @@ s as (select doc_id, count(*) n from g group by doc_id),
 o as (select a.doc_id as doc_a, b.doc_id as doc_b, count(*) c from g a join g b on a.gram = b.gram and a.doc_id < b.doc_id group by 1, 2)
 select doc_a, doc_b, c / (x.n + y.n - c) as jaccard
 from o join s x on x.doc_id = doc_a join s y on y.doc_id = doc_b where c >= 0.7 * (x.n + y.n - c) - 1e-9"""
+
+
+@query
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_spans(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_spans(_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op8_suffix_array_dedup"] = ORACLES["op10_substring_dedup"] = """
+with w as (select doc_id, regexp_extract_all(lower(text), '[0-9a-z\\x{80}-\\x{10FFFF}]+') ws from documents where doc_id is not null),
+p as (select doc_id, ws, unnest(range(0, greatest(len(ws) - 49, 0))) as pos from w),
+r as (select doc_id, pos, md5(array_to_string(ws[pos + 1 : pos + 50], ' ')) as h from p),
+s as (select h from r group by h having min(doc_id) <> max(doc_id)),
+f as (select distinct doc_id, pos from r semi join s on r.h = s.h),
+c as (select doc_id, pos, case when pos <= lag(pos) over (partition by doc_id order by pos) + 50 then 0 else 1 end as fresh from f),
+i as (select doc_id, pos, sum(fresh) over (partition by doc_id order by pos) as island from c)
+select doc_id, min(pos) as begin_word, max(pos) + 50 as end_word from i group by doc_id, island"""
