@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, jaccard_join, quality, substring_dedup, suffix_dedup, toxicity
+from . import bpe, decontaminate, exact_dedup, jaccard_join, licenses, quality, substring_dedup, suffix_dedup, toxicity, warc
 
 RANKS = os.environ.get("WORLDFOLD_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +89,24 @@ f as (select distinct doc_id, pos from r semi join s on r.h = s.h),
 c as (select doc_id, pos, case when pos <= lag(pos) over (partition by doc_id order by pos) + 50 then 0 else 1 end as fresh from f),
 i as (select doc_id, pos, sum(fresh) over (partition by doc_id order by pos) as island from c)
 select doc_id, min(pos) as begin_word, max(pos) + 50 as end_word from i group by doc_id, island"""
+
+
+@query
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures of the whole pages table, nested records flattened to texts so that they can be compared."""
+    whole = warc.assemble(warc.from_pages(_table(spark, sf_dir, "pages")))
+    return whole.select("capture_id", "target_uri", "n_records", F.col("response.record_id").alias("response_id"), F.col("request.record_id").alias("request_id"), F.element_at("metadata", 1)["record_id"].alias("metadata_id"), F.decode("response.payload", "UTF-8").alias("response_text"), F.decode("request.payload", "UTF-8").alias("request_text"), F.decode(F.element_at("metadata", 1)["payload"], "UTF-8").alias("metadata_text"))
+
+
+ORACLES["op6_warc_transactions"] = """
+select '<urn:metadata:' || page_id || '>' as capture_id, url as target_uri, 3 as n_records,
+       '<urn:response:' || page_id || '>' as response_id, '<urn:request:' || page_id || '>' as request_id, '<urn:metadata:' || page_id || '>' as metadata_id,
+       'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') as response_text,
+       'GET ' || coalesce(url, '') || ' HTTP/1.1' || chr(13) || chr(10) || chr(13) || chr(10) as request_text,
+       'htmlLength: ' || length(coalesce(html, '')) as metadata_text
+from pages where page_id is not null"""
