@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_OPEN: ContextVar[list[str] | None] = ContextVar("_OPEN", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; a temporary one only where that is unset (local tests)."""
@@ -18,7 +23,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/worldfold/{name}-{uuid.uuid4().hex}"
+    """A fresh path, deleted at the end of the scratch() around it."""
+    path = f"{shared_dir(spark)}/worldfold/{name}-{uuid.uuid4().hex}"
+    held = _OPEN.get()
+    if held is not None:
+        held.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -33,3 +43,25 @@ def drop(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are deleted at the end: whatever leaves must have been written outside, or be kept()."""
+    own: list[str] = []
+    token = _OPEN.set(own)
+    try:
+        yield
+    finally:
+        _OPEN.reset(token)
+        for path in own:
+            drop(spark, path)
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """written(), but not deleted by the scratch() around it."""
+    token = _OPEN.set(None)
+    try:
+        return written(df, name)
+    finally:
+        _OPEN.reset(token)
