@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import drop, new_path, written
+from ..storage import kept, new_path, scratch, written
 from .runs import run_lengths
 from .sizes import hinted
 from .words import chunks, plain, words
@@ -228,11 +228,9 @@ def _matcher(sent, how: Matching):
 def contamination(docs: DataFrame, bench: DataFrame, how: Matching = Matching(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", index_path: str | None = None) -> DataFrame:
     """Index ``docs`` (at ``index_path``, or for this once) and match every item of ``bench`` in it."""
     spark: SparkSession = docs.sparkSession
-    path = index_path or new_path(spark, "index")
-    found = written(match(build_index(docs, path, id_col, text_col), bench, how, item_col, text_col), "matches")
-    if index_path is None:
-        drop(spark, path)
-    return found
+    with scratch(spark):
+        path = index_path or new_path(spark, "index")
+        return kept(match(build_index(docs, path, id_col, text_col), bench, how, item_col, text_col), "matches")
 
 
 def without_contaminated(docs: DataFrame, bench: DataFrame, how: Matching = Matching(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..storage import new_path
+from ..storage import kept, new_path, scratch
 from .sizes import hinted
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -52,6 +52,11 @@ def keep_state(arriving: DataFrame, hits_path: str, state_path: str) -> Streamin
 
 def hit_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """Digests that several rows of ``docs`` have, found by streaming its arrivals through the state."""
+    with scratch(docs.sparkSession):
+        return kept(_hit_digests(docs, id_col, text_col, digest), "hits")
+
+
+def _hit_digests(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
     spark = docs.sparkSession
     base = new_path(spark, "exact-dedup")
     slim = arrivals(docs, id_col, text_col, digest)

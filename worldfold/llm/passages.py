@@ -44,11 +44,10 @@ def in_several_documents(rows: DataFrame) -> DataFrame:
 def confirm(docs: DataFrame, anchors: DataFrame, length: int, back: int) -> DataFrame:
     """Spans of ``docs`` (doc_id, text) of ``length`` or more words that stand in several documents.
 
-    ``anchors`` (doc_id, pos) are words near which two documents may agree: every such run of ``length`` words begins at most
+    ``anchors`` (doc_id, pos), a written table, are words near which two documents may agree: every such run of ``length`` words begins at most
     ``back`` words before one. From these beginnings whole runs are hashed afresh, with another hash than drew the
     anchors; runs that several documents have are the result, overlapping and adjoining ones joined. This extends an anchor's match as far as it goes.
     """
-    anchors = written(anchors, "anchors")
     ids = written(anchors.select("doc_id").distinct(), "ids")
     placed = anchors.groupBy("doc_id").agg(F.collect_set("pos").alias("at"))
     held = docs.join(hinted(ids), "doc_id", "left_semi").join(placed.hint("merge"), "doc_id")

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import written
+from ..storage import kept, scratch, written
 from .sizes import hinted
 from .words import chunks, mix, window_hashes
 
@@ -269,6 +269,11 @@ def judge(docs: DataFrame, labels: DataFrame, model: Model = Model(), id_col: st
     """doc_id, lang, n_chars, perplexity, threshold, keep of every row of ``docs``."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     good = labels.groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.min(label_col).alias("least")).where("least = 1").select("doc_id")
+    with scratch(docs.sparkSession):
+        return kept(_judged(slim, good, model), "judged")
+
+
+def _judged(slim: DataFrame, good: DataFrame, model: Model) -> DataFrame:
     good = written(good.withColumn("half", F.expr("cast(pmod(xxhash64(doc_id), 2) as int)")), "trusted")
     trusted = slim.where("text is not null").join(hinted(good), "doc_id")
     models = [train(trusted.where(f"half = {k}").select("lang", "text"), model) for k in (0, 1)]

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..storage import kept, scratch, written
 from .passages import HASHED, confirm, hashed, in_several_documents
 from .words import chunks, plain, window_hashes, words
 
@@ -61,4 +62,6 @@ def repeated_spans(docs: DataFrame, cover: Cover = Cover(), id_col: str = "doc_i
             at = np.flatnonzero(on[pos % cover.period] & (pos + cover.window <= size) & (size >= cover.length))
             yield hashed(hashes[at], batch.column("doc_id").to_numpy()[doc[at]], pos[at])
 
-    return confirm(slim, in_several_documents(slim.mapInArrow(anchors, HASHED)), cover.length, cover.period - 1)
+    with scratch(docs.sparkSession):
+        agreeing = written(in_several_documents(slim.mapInArrow(anchors, HASHED)), "anchors")
+        return kept(confirm(slim, agreeing, cover.length, cover.period - 1), "spans")

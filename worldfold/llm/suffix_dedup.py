@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import drop, new_path, written
+from ..storage import drop, kept, new_path, scratch, written
 from .passages import confirm
 from .words import _LUT, chunks, plain, window_hashes, words
 
@@ -257,4 +257,5 @@ def splitters(pages: DataFrame, parts: int) -> list[bytes]:
 def repeated_spans(docs: DataFrame, how: Sparse = Sparse(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, begin_word, end_word of every maximal span covered by runs of ``length`` words that several documents have."""
     slim = plain(docs, id_col, text_col).where("doc_id is not null and text is not null")
-    return confirm(slim, agreeing_suffixes(slim, how), how.length, how.window - 1)
+    with scratch(docs.sparkSession):
+        return kept(confirm(slim, agreeing_suffixes(slim, how), how.length, how.window - 1), "spans")

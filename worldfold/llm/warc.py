@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import written
+from ..storage import kept, scratch, written
 
 RECORD = "record_id string, type string, target_uri string, date string, concurrent_to array<string>, headers map<string,string>, payload binary, file string, offset long"
 MAIN = ("response", "revisit", "resource")
@@ -128,7 +128,9 @@ def assemble(records: DataFrame) -> DataFrame:
     slim = records.where("record_id is not null").select(*fields, "concurrent_to", "file", "offset")
     first = F.min_by(F.struct(*fields), F.struct(F.coalesce("file", F.lit("")), F.coalesce("offset", F.lit(-1)), F.coalesce("payload", F.lit(b"")), F.coalesce("type", F.lit("")), F.coalesce("target_uri", F.lit("")), F.coalesce("date", F.lit("")))).alias("r")
     one = slim.groupBy("record_id").agg(first).select("record_id", "r")
-    placed = one.join(captures(slim), "record_id")
+    with scratch(records.sparkSession):
+        of_capture = kept(captures(slim), "captures")
+    placed = one.join(of_capture, "record_id")
 
     def of(kinds: tuple[str, ...]) -> Column:
         return F.min_by("r", F.when(F.col("r.type").isin(*kinds), F.col("record_id")))
