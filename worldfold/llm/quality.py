@@ -28,7 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import kept, scratch, written
@@ -40,7 +40,7 @@ START = "\x02"
 
 @dataclass(frozen=True)
 class Model:
-    order: int = 5
+    order: int = 4
     #: Quantile of the trusted documents' perplexities up to which a document is kept.
     quantile: float = 0.99
     #: Bytes of text in a block, the unit that asks for scores.
@@ -79,6 +79,11 @@ def _distinct(points: np.ndarray, bounds: np.ndarray, order: int) -> tuple[np.nd
     return kinds, np.bincount(codes, minlength=len(kinds)), np.stack([points[first + k] for k in range(order)], axis=1)
 
 
+def _keys(h: np.ndarray, lang: str | None) -> np.ndarray:
+    """Hashes of n-grams as keys that differ by language."""
+    return mix(h, xxhash.xxh3_64_intdigest(repr(lang)))
+
+
 class Grams:
     """Distinct n-grams with their counts, by language."""
 
@@ -98,12 +103,13 @@ class Grams:
         first[codes[::-1]] = np.arange(len(h))[::-1]
         return kinds, np.bincount(codes, weights=n, minlength=len(kinds)).astype(np.int64), g[first]
 
-    def rows(self) -> Iterator[tuple[str | None, pa.Array, np.ndarray]]:
+    def rows(self) -> Iterator[tuple[str | None, np.ndarray, pa.Array, np.ndarray]]:
         for lang in self.parts:
-            _, n, g = self.joined(lang)
+            h, n, g = self.joined(lang)
             for begin in range(0, len(n), 50_000):
-                text = g[begin : begin + 50_000].astype("<u4").tobytes().decode("utf-32-le")
-                yield lang, pa.array([text[k : k + self.order] for k in range(0, len(text), self.order)], pa.string()), n[begin : begin + 50_000]
+                part = slice(begin, begin + 50_000)
+                text = g[part].astype("<u4").tobytes().decode("utf-32-le")
+                yield lang, _keys(h[part], lang), pa.array([text[k : k + self.order] for k in range(0, len(text), self.order)], pa.string()), n[part]
 
 
 def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str | None, pa.RecordBatch]]:
@@ -120,48 +126,44 @@ def count_grams(docs: DataFrame, order: int) -> DataFrame:
         for batch in chunks(batches):
             for lang, part in _by_language(batch):
                 grams.add(lang, *_symbols([t or "" for t in part.column("text").to_pylist()], order))
-        for lang, gram, n in grams.rows():
+        for lang, _, gram, n in grams.rows():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), gram, pa.array(n)], names=["lang", "gram", "n"])
 
     return docs.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def train(trusted: DataFrame, model: Model) -> list[tuple[DataFrame, DataFrame]]:
-    """By order from 1: (lang, gram, mass), the discounted share of the gram, and (lang, context, back), the weight of the lower order."""
-    counts, tables = written(count_grams(trusted, model.order), "grams"), []
-    for order in range(model.order, 0, -1):
-        if order < model.order:
+def train(counts: DataFrame, order: int) -> list[tuple[DataFrame, DataFrame]]:
+    """Of (lang, gram, n) of the highest order, by order from 1: (lang, gram, mass), the discounted share of the gram, and
+    (lang, context, back, kinds), the weight of the lower order and the number of letters that follow."""
+    tables = []
+    for k in range(order, 0, -1):
+        if k < order:
             counts = counts.groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n"))
         counts = written(counts, "counts")
-        of = counts.groupBy("lang").agg(*[F.greatest(F.count_if(F.col("n") == k), F.lit(1)).alias(f"n{k}") for k in (1, 2, 3, 4)])
+        of = counts.groupBy("lang").agg(*[F.greatest(F.count_if(F.col("n") == i), F.lit(1)).alias(f"n{i}") for i in (1, 2, 3, 4)])
         y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-        less = [F.greatest(F.lit(0.0), k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")).alias(f"d{k}") for k in (1, 2, 3)]
-        same = F.col("c.lang").eqNullSafe(F.col("d.lang"))
+        less = [F.greatest(F.lit(0.0), i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")).alias(f"d{i}") for i in (1, 2, 3)]
         cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        rows = counts.alias("c").join(F.broadcast(of.select("lang", *less)).alias("d"), same).select("c.lang", "gram", "n", F.least(cut, F.col("n")).alias("cut"))
-        rows = rows.withColumn("context", F.expr(f"substring(gram, 1, {order - 1})"))
-        totals = written(rows.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("cut").alias("given"), F.count("*").alias("kinds")), "totals")
-        mass = rows.alias("r").join(totals.alias("t"), F.col("r.lang").eqNullSafe(F.col("t.lang")) & (F.col("r.context") == F.col("t.context")))
-        mass = written(mass.select("r.lang", "gram", ((F.col("n") - F.col("cut")) / F.col("total")).alias("mass")), "mass")
+        rows = counts.join(of.select("lang", *less), "lang").select("lang", "gram", F.expr(f"substring(gram, 1, {k - 1})").alias("context"), "n", F.least(cut, F.col("n")).alias("cut"))
+        totals = rows.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("cut").alias("given"), F.count("*").alias("kinds"))
+        mass = rows.join(totals, ["lang", "context"]).select("lang", "gram", ((F.col("n") - F.col("cut")) / F.col("total")).alias("mass"))
         tables.append((mass, totals.select("lang", "context", (F.col("given") / F.col("total")).alias("back"), "kinds")))
     return tables[::-1]
 
 
 def score_grams(asked: DataFrame, tables: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """(lang, gram, logp) of every distinct (lang, gram) of ``asked``: one join by n-gram and one by context for each order."""
-    order = len(tables)
-    out = asked.select("lang", "gram").distinct().withColumn("p", F.lit(None).cast("double"))
-    kinds = tables[0][1].select("lang", F.col("kinds").alias("vocabulary"))
-    out = out.alias("q").join(F.broadcast(kinds).alias("k"), F.col("q.lang").eqNullSafe(F.col("k.lang")), "left").select("q.lang", "gram", (1 / (F.coalesce("vocabulary", F.lit(0)) + 1)).alias("p"))
+    """``asked`` (distinct lang, gram, …) with logp: one join by n-gram and one by context for each order."""
+    order, names = len(tables), asked.columns
+    kinds = tables[0][1].select("lang", "kinds")
+    out = asked.join(kinds, "lang", "left").select(*names, (1 / (F.coalesce("kinds", F.lit(0)) + 1)).alias("p"))
     for k, (mass, context) in enumerate(tables, 1):
-        out = out.withColumn("_g", F.expr(f"substring(gram, {order - k + 1})")).withColumn("_c", F.expr(f"substring(gram, {order - k + 1}, {k - 1})"))
-        out = out.alias("q").join(mass.alias("m"), F.col("q.lang").eqNullSafe(F.col("m.lang")) & (F.col("_g") == F.col("m.gram")), "left").select("q.*", "mass")
-        out = out.alias("q").join(context.alias("t"), F.col("q.lang").eqNullSafe(F.col("t.lang")) & (F.col("_c") == F.col("t.context")), "left")
-        out = out.select("q.lang", "q.gram", (F.coalesce("mass", F.lit(0.0)) + F.coalesce("back", F.lit(1.0)) * F.col("p")).alias("p"))
-    return out.select("lang", "gram", F.ln("p").alias("logp"))
+        part = out.withColumn("_g", F.expr(f"substring(gram, {order - k + 1})")).withColumn("_c", F.expr(f"substring(gram, {order - k + 1}, {k - 1})"))
+        part = part.join(mass.withColumnRenamed("gram", "_g"), ["lang", "_g"], "left").join(context.select("lang", F.col("context").alias("_c"), "back"), ["lang", "_c"], "left")
+        out = part.select(*names, (F.coalesce("mass", F.lit(0.0)) + F.coalesce("back", F.lit(1.0)) * F.col("p")).alias("p"))
+    return out.select(*names, F.ln("p").alias("logp"))
 
 
-PACKED = "block long, piece int, lang string, gram string, head binary, body binary"
+PACKED = "block long, piece int, key long, lang string, gram string, head binary, body binary"
 
 
 def _packed(docs: DataFrame, model: Model, bodies: bool) -> DataFrame:
@@ -171,19 +173,19 @@ def _packed(docs: DataFrame, model: Model, bodies: bool) -> DataFrame:
     arrow = dict(long=pa.int64(), int=pa.int32(), string=pa.string(), binary=pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3)
+        press = zstandard.ZstdCompressor(level=5)
 
-        def rows(block: int, n: int, lang: str | None, piece: int = 0, gram: pa.Array | None = None, *more: bytes) -> pa.RecordBatch:
-            own = [[block] * n, [piece] * n, [lang] * n, gram, *([m] for m in more), *[None] * (2 - len(more))]
-            return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v if v is not None else [None] * n, arrow[t]) for v, t in zip(own, kinds)], names=list(names))
+        def rows(n: int, **columns) -> pa.RecordBatch:
+            own = [columns.get(name) for name in names]
+            return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array([v] * n, arrow[t]) for v, t in zip(own, kinds)], names=list(names))
 
         def settled(digest, pieces: list, grams: Grams) -> Iterator[pa.RecordBatch]:
             # Named by its content: both kinds of rows name a block alike, wherever and however often they are made.
             block = digest.intdigest() >> 1
             for k, (lang, head, body) in enumerate(pieces, 1):
-                yield rows(block, 1, lang, k, None, head, body)
-            for lang, gram, n in grams.rows():
-                yield rows(block, len(n), lang, 0, gram)
+                yield rows(1, block=block, piece=k, lang=lang, head=head, body=body)
+            for lang, keys, gram, n in grams.rows():
+                yield rows(len(n), block=block, piece=0, key=pa.array(keys.view(np.int64)), lang=lang, gram=gram)
 
         digest, pieces, grams, size = xxhash.xxh3_64(), [], Grams(model.order), 0
         for batch in chunks(batches):
@@ -206,63 +208,58 @@ def _packed(docs: DataFrame, model: Model, bodies: bool) -> DataFrame:
     return docs.mapInArrow(run, PACKED)
 
 
-def perplexities(docs: DataFrame, models: list[list[tuple[DataFrame, DataFrame]]], model: Model) -> DataFrame:
-    """(doc_id, lang, n_chars, logs) of every row of ``docs`` (doc_id, lang, text); logs is the log perplexity under each model."""
-    asked = written(_packed(docs, model, bodies=False).select("block", "lang", "gram"), "asked")
-    kinds = written(asked.select("lang", "gram").distinct(), "kinds")
-    scored = None
-    for k, tables in enumerate(models):
-        own = score_grams(kinds, tables).withColumnRenamed("logp", f"p{k}")
-        scored = own if scored is None else scored.alias("x").join(own.alias("y"), F.col("x.lang").eqNullSafe(F.col("y.lang")) & (F.col("x.gram") == F.col("y.gram"))).select("x.*", f"p{k}")
-    scored = written(scored.select("lang", "gram", F.array(*[F.col(f"p{k}").cast("float") for k in range(len(models))]).alias("logs")), "scored")
-    answers = asked.alias("a").join(scored.alias("s"), F.col("a.lang").eqNullSafe(F.col("s.lang")) & (F.col("a.gram") == F.col("s.gram")))
-    none = F.lit(None).cast("binary")
-    rows = answers.select("a.block", F.lit(0).alias("piece"), "a.lang", "a.gram", none.alias("head"), none.alias("body"), "logs")
-    rows = rows.union(_packed(docs, model, bodies=True).withColumn("logs", F.lit(None).cast("array<float>")))
-
-    n_models = len(models)
+def perplexities(docs: DataFrame, tables: list[tuple[DataFrame, DataFrame]], model: Model) -> DataFrame:
+    """(doc_id, lang, n_chars, log0, log1) of every row of ``docs`` (doc_id, lang, text): its log perplexity under each half's model."""
+    asked = written(_packed(docs, model, bodies=False).select("block", "key", "lang", "gram"), "asked")
+    kinds = asked.groupBy("key").agg(F.first("lang").alias("own"), F.first("gram").alias("gram"))
+    both = kinds.select("key", "gram", F.explode(F.array(*[F.struct(F.lit(k).alias("half"), _named(F.lit(k), F.col("own")).alias("lang")) for k in (0, 1)])).alias("m")).select("key", "gram", "m.half", "m.lang")
+    logs = score_grams(written(both, "kinds"), tables)
+    scored = logs.groupBy("key").agg(*[F.max(F.when(F.col("half") == k, F.col("logp"))).cast("float").alias(f"log{k}") for k in (0, 1)])
+    answers = asked.select("block", "key").join(hinted(written(scored, "scored")), "key")
+    none = F.lit(None)
+    rows = answers.select("block", F.lit(0).alias("piece"), "key", none.cast("string").alias("lang"), none.cast("binary").alias("head"), none.cast("binary").alias("body"), "log0", "log1")
+    rows = rows.union(_packed(docs, model, bodies=True).select("block", "piece", "key", "lang", "head", "body", none.cast("float").alias("log0"), none.cast("float").alias("log1")))
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held, index = None, {}, {}
+        block, held, index, values = None, [], None, None
         press = zstandard.ZstdDecompressor()
-
-        def scores(lang: str | None) -> tuple[pd.Index, np.ndarray]:
-            if lang not in index:
-                grams = [g for part, _ in held.get(lang, []) for g in part]
-                h = _gram_hashes(np.frombuffer("".join(grams).encode("utf-32-le"), np.uint32), model.order)[:: model.order]
-                h, first = np.unique(h, return_index=True)
-                index[lang] = pd.Index(h), np.concatenate([x for _, x in held.pop(lang, [])] or [np.zeros((0, n_models))])[first]
-            return index[lang]
-
         for batch in batches:
             begin = np.flatnonzero(np.diff(batch.column("block").to_numpy(), prepend=-1))
             for a, b in zip(begin.tolist(), [*begin[1:].tolist(), batch.num_rows]):
                 part = batch.slice(a, b - a)
                 if (k := part.column("block")[0].as_py()) != block:
-                    block, held, index = k, {}, {}
-                answers = part.filter(part.column("gram").is_valid())
-                for lang, own in _by_language(answers):
-                    held.setdefault(lang, []).append((own.column("gram").to_pylist(), own.column("logs").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n_models)))
-                for lang, head, body in zip(*(part.filter(part.column("gram").is_null()).column(c).to_pylist() for c in ("lang", "head", "body"))):
+                    block, held, index = k, [], None
+                told = part.column("key").is_valid()
+                own = part.filter(told)
+                held.append([own.column(c).to_numpy(zero_copy_only=False) for c in ("key", "log0", "log1")])
+                for lang, head, body in zip(*(part.filter(pc.invert(told)).column(c).to_pylist() for c in ("lang", "head", "body"))):
+                    if index is None:
+                        keys, *both = (np.concatenate(x) for x in zip(*held))
+                        keys, first = np.unique(keys, return_index=True)
+                        index, values, held = pd.Index(keys), np.stack(both, axis=1)[first].astype(np.float64), []
                     ids, null, size = np.frombuffer(head, np.int64).reshape(3, -1)
                     text = press.decompress(body).decode()
                     cut = np.concatenate([[0], np.cumsum(size)]).tolist()
                     points, bounds = _symbols([text[x:y] for x, y in zip(cut, cut[1:])], model.order)
-                    logs = np.zeros((len(size), n_models))
+                    logs = np.zeros((len(size), 2))
                     some = np.flatnonzero(size > 0)
                     if len(some):
-                        keys, values = scores(lang)
                         h = _gram_hashes(points, model.order)
                         inside = _inside(bounds, len(h), model.order)
-                        at = keys.get_indexer(h[inside])
+                        at = index.get_indexer(_keys(h[inside], lang).view(np.int64))
                         if (at < 0).any():
                             raise RuntimeError("a block's n-grams differ between two readings of its documents: write them to a table first")
                         logs[some] = np.add.reduceat(values[at], np.concatenate([[0], np.cumsum(size[some])[:-1]]), axis=0)
-                    value = pa.FixedSizeListArray.from_arrays(pa.array((-logs / np.maximum(size, 1)[:, None]).ravel()), n_models).cast(pa.list_(pa.float64()))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, mask=null.astype(bool)), pa.array([lang] * len(ids), pa.string()), pa.array(size), value], names=["doc_id", "lang", "n_chars", "logs"])
+                    logs = -logs / np.maximum(size, 1)[:, None]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, mask=null.astype(bool)), pa.array([lang] * len(ids), pa.string()), pa.array(size), pa.array(logs[:, 0].copy()), pa.array(logs[:, 1].copy())], names=["doc_id", "lang", "n_chars", "log0", "log1"])
 
     placed = rows.repartition("block").sortWithinPartitions("block", "piece")
-    return placed.mapInArrow(add_up, "doc_id long, lang string, n_chars long, logs array<double>")
+    return placed.mapInArrow(add_up, "doc_id long, lang string, n_chars long, log0 double, log1 double")
+
+
+def _named(half: Column, lang: Column) -> Column:
+    """The name of a half's model of a language; never null."""
+    return F.concat(half.cast("string"), F.coalesce(F.concat(F.lit("="), lang), F.lit("")))
 
 
 def judge(docs: DataFrame, labels: DataFrame, model: Model = Model(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality") -> DataFrame:
@@ -276,9 +273,9 @@ def judge(docs: DataFrame, labels: DataFrame, model: Model = Model(), id_col: st
 def _judged(slim: DataFrame, good: DataFrame, model: Model) -> DataFrame:
     good = written(good.withColumn("half", F.expr("cast(pmod(xxhash64(doc_id), 2) as int)")), "trusted")
     trusted = slim.where("text is not null").join(hinted(good), "doc_id")
-    models = [train(trusted.where(f"half = {k}").select("lang", "text"), model) for k in (0, 1)]
-    logs = perplexities(slim, models, model).join(hinted(good), "doc_id", "left")
-    fair = F.when(F.col("half") == 0, F.col("logs")[1]).when(F.col("half") == 1, F.col("logs")[0]).otherwise((F.col("logs")[0] + F.col("logs")[1]) / 2)
+    counts = count_grams(trusted.select(_named(F.col("half"), F.col("lang")).alias("lang"), "text"), model.order)
+    logs = perplexities(slim, train(counts, model.order), model).join(hinted(good), "doc_id", "left")
+    fair = F.when(F.col("half") == 0, F.col("log1")).when(F.col("half") == 1, F.col("log0")).otherwise((F.col("log0") + F.col("log1")) / 2)
     scores = written(logs.select("doc_id", "lang", "n_chars", "half", F.when(F.col("n_chars") > 0, F.exp(fair)).alias("perplexity")), "perplexities")
     limits = scores.where("half is not null").groupBy("lang").agg(F.percentile_approx("perplexity", model.quantile, 10_000).alias("threshold"))
     out = scores.alias("s").join(F.broadcast(limits).alias("l"), F.col("s.lang").eqNullSafe(F.col("l.lang")), "left")
