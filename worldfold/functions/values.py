@@ -51,15 +51,25 @@ def bound(value: Column, name: str) -> Column:
     return F.get_json_object(F.when(value.startswith("{"), value), f"$.{name}").try_cast("double")
 
 
-@F.pandas_udf("string")
-def exact_sum(values: pd.Series) -> str | None:
+def exact_total(values: list[str | None]) -> str | None:
     """Sum of decimal texts with 50 digits, half to even; the scale is that of the addends."""
     total: Decimal | None = None
-    for v in values.dropna():
-        total = Decimal(v) if total is None else EXACT.add(total, Decimal(v))
+    for v in values:
+        if v is not None:
+            total = Decimal(v) if total is None else EXACT.add(total, Decimal(v))
     return None if total is None else str(total)
 
 
+def exact_sum(column: Column) -> Column:
+    """exact_total() of a group, as a grouped aggregate over Arrow batches."""
+
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> str:
+        return exact_total(values.tolist())
+
+    return run(column)
+
+
 def content_tokens(text: Column) -> Column:
     """Words of a name that tell something: lower case, without possessives, articles, titles and single letters."""
     clean = F.regexp_replace(F.regexp_replace(F.lower(text), "['’]s\\b", ""), "[^\\p{L}\\p{N}]+", " ")
