@@ -126,6 +126,16 @@ class Library:
         order = np.argsort(key, kind="stable")
         self.key, self.of, self.place = key[order], of[order], place[order]
 
+    def _places(self, doc: np.ndarray, t: int, low: int, high: int, begin: int, end: int) -> Iterator[tuple[int, int, int]]:
+        """(matched, begin, end) in ``doc[begin:end]``: the best place, and then any before and after it."""
+        todo = [(begin, end)]
+        while todo:
+            begin, end = todo.pop()
+            matched, a, b = align(doc[begin:end], self.terms[t], low - begin, high - begin)
+            if matched and matched >= self.how.coverage * len(self.terms[t]) - 1e-9:
+                yield matched, begin + a, begin + b
+                todo += [(begin, begin + a), (begin + b, end)]
+
     def reports(self, batch: pa.RecordBatch) -> Iterator[tuple]:
         """(row, template, matched, begin, end) before overlaps are settled."""
         h, offsets = words(batch.column("text"))
@@ -145,11 +155,7 @@ class Library:
             for d in [*sorted(set(diagonals)), None]:
                 if group and (d is None or d - group[-1] > self.how.band or d - group[0] > 4 * self.how.band):
                     low, high = group[0] - self.how.band, group[-1] + self.how.band
-                    base = max(0, low)
-                    part = own[base : high + len(self.terms[t])]
-                    matched, begin, end = align(part, self.terms[t], low - base, high - base)
-                    if matched >= self.how.coverage * len(self.terms[t]) - 1e-9:
-                        yield row, t, matched, begin + base, end + base
+                    yield from ((row, t, *found_) for found_ in self._places(own, t, low, high, max(0, low), min(len(own), high + len(self.terms[t]))))
                     group = []
                 if d is not None:
                     group.append(d)

@@ -36,6 +36,8 @@ from .sizes import hinted
 from .words import chunks, mix, window_hashes
 
 START = "\x02"
+#: Least discount: with few counts the estimates can reach 0, which would leave nothing for n-grams that were not seen.
+LEAST = 0.1
 
 
 @dataclass(frozen=True)
@@ -142,7 +144,7 @@ def train(counts: DataFrame, order: int) -> list[tuple[DataFrame, DataFrame]]:
         counts = written(counts, "counts")
         of = counts.groupBy("lang").agg(*[F.greatest(F.count_if(F.col("n") == i), F.lit(1)).alias(f"n{i}") for i in (1, 2, 3, 4)])
         y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-        less = [F.greatest(F.lit(0.0), i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")).alias(f"d{i}") for i in (1, 2, 3)]
+        less = [F.greatest(F.lit(LEAST), i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")).alias(f"d{i}") for i in (1, 2, 3)]
         cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         rows = counts.join(of.select("lang", *less), "lang").select("lang", "gram", F.expr(f"substring(gram, 1, {k - 1})").alias("context"), "n", F.least(cut, F.col("n")).alias("cut"))
         totals = rows.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("cut").alias("given"), F.count("*").alias("kinds"))
