@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 from worldfold.llm import quality as q
@@ -17,7 +18,7 @@ def brute(rows, trusted_of, order):
             counts = [Counter() for _ in range(order + 1)]
             for i, l, t in rows:
                 if l == lang and t is not None and trusted_of.get(i) == half:
-                    w = q.START * (order - 1) + t
+                    w = q.START * (order - 1) + re.sub('[0-9]', '0', t)
                     counts[order].update(w[k : k + order] for k in range(len(w) - order + 1))
             for n in range(order - 1, 0, -1):
                 counts[n] = Counter(g[1:] for g in counts[n + 1])
@@ -36,7 +37,7 @@ def brute(rows, trusted_of, order):
 
     def log_perplexity(half, lang, text):
         total, levels = 0.0, models[half, lang]
-        w = q.START * (order - 1) + text
+        w = q.START * (order - 1) + re.sub('[0-9]', '0', text)
         for k in range(order - 1, len(w)):
             p = 1 / (len(levels[0][0]) + 1)
             for n, (counts, d, ctx) in enumerate(levels, 1):

@@ -50,9 +50,10 @@ class Model:
 
 
 def _symbols(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of all texts, each after ``order - 1`` starts, and where each begins."""
+    """Code points of all texts, each after ``order - 1`` starts, and where each begins. Digits are one symbol."""
     pad = START * (order - 1)
-    points = np.frombuffer("".join(pad + t for t in texts).encode("utf-32-le"), np.uint32)
+    points = np.frombuffer("".join(pad + t for t in texts).encode("utf-32-le"), np.uint32).copy()
+    points[(points >= 48) & (points <= 57)] = 48
     return points, np.cumsum([0, *(len(t) + order - 1 for t in texts)])
 
 
@@ -175,7 +176,7 @@ def _packed(docs: DataFrame, model: Model, bodies: bool) -> DataFrame:
     arrow = dict(long=pa.int64(), int=pa.int32(), string=pa.string(), binary=pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=5)
+        press = zstandard.ZstdCompressor(level=9)
 
         def rows(n: int, **columns) -> pa.RecordBatch:
             own = [columns.get(name) for name in names]
