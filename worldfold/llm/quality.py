@@ -38,6 +38,8 @@ from .words import chunks, mix, window_hashes
 START = "\x02"
 #: Least discount: with few counts the estimates can reach 0, which would leave nothing for n-grams that were not seen.
 LEAST = 0.1
+#: Scored n-grams, of 16 bytes each, up to which they are sent to every executor; beyond it the join shuffles.
+SCORED_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -218,7 +220,7 @@ def perplexities(docs: DataFrame, tables: list[tuple[DataFrame, DataFrame]], mod
     both = kinds.select("key", "gram", F.explode(F.array(*[F.struct(F.lit(k).alias("half"), _named(F.lit(k), F.col("own")).alias("lang")) for k in (0, 1)])).alias("m")).select("key", "gram", "m.half", "m.lang")
     logs = score_grams(written(both, "kinds"), tables)
     scored = logs.groupBy("key").agg(*[F.max(F.when(F.col("half") == k, F.col("logp"))).cast("float").alias(f"log{k}") for k in (0, 1)])
-    answers = asked.select("block", "key").join(hinted(written(scored, "scored")), "key")
+    answers = asked.select("block", "key").join(hinted(written(scored, "scored"), SCORED_ROWS), "key")
     none = F.lit(None)
     rows = answers.select("block", F.lit(0).alias("piece"), "key", none.cast("string").alias("lang"), none.cast("binary").alias("head"), none.cast("binary").alias("body"), "log0", "log1")
     rows = rows.union(_packed(docs, model, bodies=True).select("block", "piece", "key", "lang", "head", "body", none.cast("float").alias("log0"), none.cast("float").alias("log1")))
