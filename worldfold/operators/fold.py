@@ -136,6 +136,17 @@ def _agree(x: Column, y: Column) -> Column:
     return (x["same"] == y["same"]) | inside(x, y) | inside(y, x)
 
 
+def class_winners(rows: DataFrame) -> DataFrame:
+    """(key, source_class, first_seq, last, first, differ, tied) of the rows of best evidence: of each class of sources those at its latest time."""
+    rows = rows.where("strongest = 2").withColumn("best", F.max("rank").over(Window.partitionBy(*KEY))).where("rank = best")
+    per = Window.partitionBy(*KEY, "source_class")
+    rows = rows.withColumn("first_seq", F.min("seq").over(per)).withColumn("top", F.max(F.struct("vf_or", "asserted_at", "valid_from")).over(per))
+    tied = rows.where(F.col("valid_from").eqNullSafe(F.col("top.valid_from")))
+    row = F.struct("asserted_at", "id", "value", "value_type", "status", "valid_from", "vf_null", "same", "exact", "number", bound(F.col("value"), "gte").alias("gte"), bound(F.col("value"), "lte").alias("lte"), bound(F.col("value"), "approx").alias("approx"))
+    # The tie test compares values as written: an entity and its merged double differ here.
+    return tied.groupBy(*KEY, "source_class").agg(F.min("first_seq").alias("first_seq"), F.max(row).alias("last"), F.min(row).alias("first"), (F.min("value") != F.max("value")).alias("differ"), F.array_sort(F.collect_list(F.struct("seq", "id"))).alias("tied"))
+
+
 def state(rows: DataFrame) -> DataFrame:
     """What holds for now.
 
@@ -143,13 +154,7 @@ def state(rows: DataFrame) -> DataFrame:
     time are a conflict, in which the first asserted is served. Across classes, containment takes the latest place; anything else is
     refined in the order of assertion by whoever agrees, and whoever doesn't agree with what is served at last conflicts.
     """
-    rows = rows.where("strongest = 2").withColumn("best", F.max("rank").over(Window.partitionBy(*KEY))).where("rank = best")
-    per = Window.partitionBy(*KEY, "source_class")
-    rows = rows.withColumn("first_seq", F.min("seq").over(per)).withColumn("top", F.max(F.struct("vf_or", "asserted_at", "valid_from")).over(per))
-    tied = rows.where(F.col("valid_from").eqNullSafe(F.col("top.valid_from")))
-    row = F.struct("asserted_at", "id", "value", "value_type", "status", "valid_from", "vf_null", "same", "exact", "number", bound(F.col("value"), "gte").alias("gte"), bound(F.col("value"), "lte").alias("lte"), bound(F.col("value"), "approx").alias("approx"))
-    # The tie test compares values as written: an entity and its merged double differ here.
-    classes = tied.groupBy(*KEY, "source_class").agg(F.min("first_seq").alias("first_seq"), F.max(row).alias("last"), F.min(row).alias("first"), (F.min("value") != F.max("value")).alias("differ"), F.array_sort(F.collect_list(F.struct("seq", "id"))).alias("tied"))
+    classes = class_winners(rows)
     keys = classes.groupBy(*KEY).agg(
         F.min(F.when(F.col("differ"), F.struct("first_seq", "first", F.col("tied.id").alias("ids")))).alias("tie"),
         F.array_sort(F.collect_list("last")).alias("winners"),
