@@ -279,12 +279,12 @@ def fold_source_class(spark, d):
     return fold.class_winners(rows.where("strongest = 2")).select("entity", "attribute", "frame", "source_class", "last.id", "first_seq").withColumnRenamed("id", "winner_id")
 
 
-_SERVED = _CLASS + """, one as (select cw.entity, cw.attribute, cw.frame, count(*) as classes, arg_min(winner_id, cast(replace(winner_id, 'a:', '') as bigint)) as first_id, string_agg(winner_id, ',' order by cast(replace(winner_id, 'a:', '') as bigint)) as ids, count(distinct l.value) as kinds from cw join log l on l.id = cw.winner_id group by cw.entity, cw.attribute, cw.frame)"""
+_SERVED = _CLASS + """, one as (select cw.entity, cw.attribute, cw.frame, count(*) as classes, arg_min(winner_id, cast(replace(winner_id, 'a:', '') as bigint)) as first_id, string_agg(winner_id, ',' order by cast(replace(winner_id, 'a:', '') as bigint)) as ids, list(l.value) as vals, arg_min(l.value, cast(replace(winner_id, 'a:', '') as bigint)) as v0 from cw join log l on l.id = cw.winner_id group by cw.entity, cw.attribute, cw.frame)"""
 
 
-@query(_CANON + _SERVED + " select entity, attribute, frame, first_id as winner_id, classes > 1 as conflicted, case when classes > 1 then ids else '' end as conflicting from one where kinds = classes")
+@query(_CANON + _SERVED + " select entity, attribute, frame, first_id as winner_id, classes > 1 as conflicted, case when classes > 1 then ids else '' end as conflicting from one where len(list_filter(vals, lambda x: x = v0)) = 1")
 def fold_cross_source(spark, d):
-    """Keys whose classes all say something else: the first is served and conflicts with every other."""
+    """Keys whose first class nobody agrees with: it is served and conflicts with every other."""
     s, canon = _last(spark, d)
     folded = fold.fold(s, POLICY, canon, where=F.col("attribute").startswith("last_"))
     return folded.where("size(corroborated_by) = 0").select("entity", "attribute", "frame", "winner_id", "conflicted", F.array_join("conflicting", ",").alias("conflicting"))
