@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import kept, scratch, written
+from ..storage import kept, scratch, settled, written
 from .sizes import hinted
 from .words import chunks, mix, window_hashes
 
@@ -144,7 +144,7 @@ def train(counts: DataFrame, order: int) -> list[tuple[DataFrame, DataFrame]]:
     for k in range(order, 0, -1):
         if k < order:
             counts = counts.groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n"))
-        counts = written(counts, "counts")
+        counts = settled(counts, "counts")
         of = counts.groupBy("lang").agg(*[F.greatest(F.count_if(F.col("n") == i), F.lit(1)).alias(f"n{i}") for i in (1, 2, 3, 4)])
         y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
         less = [F.greatest(F.lit(LEAST), i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")).alias(f"d{i}") for i in (1, 2, 3)]
@@ -215,12 +215,12 @@ def _packed(docs: DataFrame, model: Model, bodies: bool) -> DataFrame:
 
 def perplexities(docs: DataFrame, tables: list[tuple[DataFrame, DataFrame]], model: Model) -> DataFrame:
     """(doc_id, lang, n_chars, log0, log1) of every row of ``docs`` (doc_id, lang, text): its log perplexity under each half's model."""
-    asked = written(_packed(docs, model, bodies=False).select("block", "key", "lang", "gram"), "asked")
+    asked = settled(_packed(docs, model, bodies=False).select("block", "key", "lang", "gram"), "asked")
     kinds = asked.groupBy("key").agg(F.first("lang").alias("own"), F.first("gram").alias("gram"))
     both = kinds.select("key", "gram", F.explode(F.array(*[F.struct(F.lit(k).alias("half"), _named(F.lit(k), F.col("own")).alias("lang")) for k in (0, 1)])).alias("m")).select("key", "gram", "m.half", "m.lang")
     logs = score_grams(written(both, "kinds"), tables)
     scored = logs.groupBy("key").agg(*[F.max(F.when(F.col("half") == k, F.col("logp"))).cast("float").alias(f"log{k}") for k in (0, 1)])
-    answers = asked.select("block", "key").join(hinted(written(scored, "scored"), SCORED_ROWS), "key")
+    answers = asked.select("block", "key").join(hinted(settled(scored, "scored"), SCORED_ROWS), "key")
     none = F.lit(None)
     rows = answers.select("block", F.lit(0).alias("piece"), "key", none.cast("string").alias("lang"), none.cast("binary").alias("head"), none.cast("binary").alias("body"), "log0", "log1")
     rows = rows.union(_packed(docs, model, bodies=True).select("block", "piece", "key", "lang", "head", "body", none.cast("float").alias("log0"), none.cast("float").alias("log1")))

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..storage import kept, scratch, written
+from ..storage import kept, scratch, settled
 from .passages import HASHED, confirm, hashed, in_several_documents
 from .words import chunks, plain, window_hashes, words
 
@@ -63,5 +63,5 @@ def repeated_spans(docs: DataFrame, cover: Cover = Cover(), id_col: str = "doc_i
             yield hashed(hashes[at], batch.column("doc_id").to_numpy()[doc[at]], pos[at])
 
     with scratch(docs.sparkSession):
-        agreeing = written(in_several_documents(slim.mapInArrow(anchors, HASHED)), "anchors")
+        agreeing = settled(in_several_documents(slim.mapInArrow(anchors, HASHED)), "anchors")
         return kept(confirm(slim, agreeing, cover.length, cover.period - 1), "spans")

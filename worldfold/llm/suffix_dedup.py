@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import drop, kept, new_path, scratch, written
+from ..storage import drop, kept, new_path, scratch, settled
 from .passages import confirm
 from .words import _LUT, chunks, plain, window_hashes, words
 
@@ -243,7 +243,7 @@ def agreeing_suffixes(slim: DataFrame, how: Sparse) -> DataFrame:
             yield from settle()
 
     exchanged = pages.mapInArrow(place, "part int, " + PAGE).repartition(parts, "part").sortWithinPartitions("part", "run", "page")
-    found = written(exchanged.mapInArrow(merge, "doc_id long, pos int"), "agreeing")
+    found = settled(exchanged.mapInArrow(merge, "doc_id long, pos int"), "agreeing")
     drop(spark, path)
     return found
 

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import kept, scratch, written
+from .sizes import hinted
 
 RECORD = "record_id string, type string, target_uri string, date string, concurrent_to array<string>, headers map<string,string>, payload binary, file string, offset long"
 MAIN = ("response", "revisit", "resource")
@@ -127,10 +128,13 @@ def assemble(records: DataFrame) -> DataFrame:
     fields = ["record_id", "type", "target_uri", "date", "headers", "payload"]
     slim = records.where("record_id is not null").select(*fields, "concurrent_to", "file", "offset")
     first = F.min_by(F.struct(*fields), F.struct(F.coalesce("file", F.lit("")), F.coalesce("offset", F.lit(-1)), F.coalesce("payload", F.lit(b"")), F.coalesce("type", F.lit("")), F.coalesce("target_uri", F.lit("")), F.coalesce("date", F.lit("")))).alias("r")
-    one = slim.groupBy("record_id").agg(first).select("record_id", "r")
     with scratch(records.sparkSession):
         of_capture = kept(captures(slim), "captures")
-    placed = one.join(of_capture, "record_id")
+        repeated = kept(slim.groupBy("record_id").count().where("count > 1").select("record_id"), "repeated")
+    # Contents go straight to their capture; only records that stand twice meet before.
+    alone = slim.join(hinted(repeated), "record_id", "left_anti").select("record_id", F.struct(*fields).alias("r"))
+    one = alone.union(slim.join(hinted(repeated), "record_id", "left_semi").groupBy("record_id").agg(first).select("record_id", "r"))
+    placed = one.join(hinted(of_capture), "record_id")
 
     def of(kinds: tuple[str, ...]) -> Column:
         return F.min_by("r", F.when(F.col("r.type").isin(*kinds), F.col("record_id")))
