@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,7 +11,8 @@ from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-_OPEN: ContextVar[list[str] | None] = ContextVar("_OPEN", default=None)
+#: The paths written in each scratch() that is open, the innermost last.
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("_OPEN", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,9 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path, deleted at the end of the scratch() around it."""
     path = f"{shared_dir(spark)}/worldfold/{name}-{uuid.uuid4().hex}"
-    held = _OPEN.get()
-    if held is not None:
-        held.append(path)
+    if held := _OPEN.get():
+        held[-1].append(path)
     return path
 
 
@@ -38,6 +39,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """written(), and then the shuffle files of what made it are let go of.
+
+    They are deleted once the driver's JVM finds the finished plan unreachable, which it may not look for in hours; a
+    program of several large jobs asks for it, so that disks hold the shuffles of one job at a time.
+    """
+    out = written(df, name)
+    del df
+    release(out.sparkSession)
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Delete a written table that no pending plan reads."""
     jvm = spark.sparkContext._jvm
@@ -52,9 +70,9 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables written inside are deleted at the end: whatever leaves must have been written outside, or be kept()."""
+    """Tables written inside are deleted at the end, but for those kept()."""
     own: list[str] = []
-    token = _OPEN.set(own)
+    token = _OPEN.set((*_OPEN.get(), own))
     try:
         yield
     finally:
@@ -64,8 +82,8 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """written(), but not deleted by the scratch() around it."""
-    token = _OPEN.set(None)
+    """written(), but left to what is around the innermost scratch()."""
+    token = _OPEN.set(_OPEN.get()[:-1])
     try:
         return written(df, name)
     finally:
