@@ -22,6 +22,8 @@ from pyspark.sql.streaming import StreamingQuery
 from ..storage import kept, new_path, scratch
 from .sizes import hinted
 
+#: Digests that one partition of the state is meant for; each is a store of its own on disk.
+STATE_ROWS = 50_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -61,7 +63,8 @@ def _hit_digests(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[
     base = new_path(spark, "exact-dedup")
     slim = arrivals(docs, id_col, text_col, digest)
     slim.write.parquet(f"{base}/arrivals")
-    own = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.read.parquet(f"{base}/arrivals").count() // STATE_ROWS + 1)
+    own = {"spark.sql.shuffle.partitions": str(parts), "spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
     before = {k: spark.conf.get(k, None) for k in own}
     try:
         for k, v in own.items():
