@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -13,14 +14,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: The paths written in each scratch() that is open, the innermost last.
 _OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("_OPEN", default=())
+#: Folders of sessions that name none.
+_OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; a temporary one only where that is unset (local tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="worldfold-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="worldfold-")
+        named = _OWN[app]
     return named.rstrip("/")
 
 
@@ -52,8 +57,10 @@ def settled(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the plan that just ended is still on its way through the listeners
+        time.sleep(0.4)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def drop(spark: SparkSession, path: str) -> None:
