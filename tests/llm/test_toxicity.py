@@ -62,3 +62,23 @@ def test_context_tells_quotation_from_abuse():
     assert quoted("you are an ", " person") == (1.5, False)
     assert quoted("the report called it ", " for years") == (0.5, True)
     assert quoted("“quoted” an ", " here") == (1.0, False)
+
+
+def test_near_words_alone_and_far_apart_are_clean(spark):
+    texts = [
+        "they were discussing and digesting a wordless work of some worthiness", "you lose and he loses", "your lover knows the idiom of a salad", "der verein und ihr verein, verein verein verein", "the loser " + "plays on " * 200 + "a loser again",
+        "what bastards they are", "those losers and clowns", "what an idiiot, so stupidd and patetic", "a pathetik loser",
+    ]
+    docs = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in t.toxic_documents(docs).collect()) == [5, 6, 7, 8]
+    assert sorted(r["doc_id"] for r in t.without_toxic(docs).collect()) == [0, 1, 2, 3, 4]
+
+
+def test_near_words_that_a_corpus_has_often_are_its_own(spark):
+    rows = [(k, f"der verein im idiom {k}") for k in range(6)] + [(10, "idiom verein salad"), (11, "a stupit man"), (12, "a loser in the verein")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert t.own_words(docs) == {"verein", "idiom"}
+    assert t.toxic_documents(docs).count() == 0 and t.without_toxic(docs).count() == len(rows)
+    # Far rarer than their term, they are misspellings.
+    told = docs.union(spark.createDataFrame([(k, "vermin") for k in range(100, 280)], "doc_id long, text string"))
+    assert t.own_words(told) == {"idiom"}

@@ -7,7 +7,12 @@ must agree, as typing errors seldom touch it.
 
 Every hit counts by its term's severity, less if misspelled, less again if the words around it show a quotation
 (an open quote mark before and a closing one after, or a reporting verb without anyone being addressed), more if
-they address someone. A document whose hits sum to ``threshold`` is toxic.
+they address someone. A document is toxic if the hits of some ``span`` words of it sum to ``threshold``, whatever its length.
+
+A misspelled hit is weak evidence, as ordinary words lie near terms too (lover, loser). It counts only beside an exact hit
+that isn't quoted, or where ``unlike`` different terms are clearly misspelled within the span (one edit, which repeats a letter
+or is in a term of 8 letters or more); and a near word that the corpus itself has often (``own_words``) is a word of its
+own and no hit at all. A term with a plural s is an exact hit.
 
 Defined cases: a null or empty text has no hit and is not toxic; repeated rows and ties are judged row by row, a null
 doc_id is passed through; an empty table gives an empty result; any further columns are ignored or passed through.
@@ -15,8 +20,10 @@ doc_id is passed through; an empty table gives an empty result; any further colu
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +38,7 @@ LEXICON: dict[str, float] = {
     **dict.fromkeys("loser trash clown".split(), 0.8),
 }
 #: Words of their own that lie within an edit of a term.
-ALLOWED = frozenset("lower loner laser losers closer loose looser crown clowns crash thrash trasher sloped motion motor mormon studio stupor bastards bastion bustard patheticism stupidity".split())
+ALLOWED = frozenset("lower loner laser closer loose looser crown crash thrash trasher sloped motion motor mormon studio stupor bastion bustard patheticism stupidity".split())
 ADDRESS = frozenset("you your you're youre yours u ur yourself du dich dein deine ihr tu toi ton votre vous vos te tú usted eres".split())
 REPORTS = frozenset("said says wrote writes called calls quoted quote quotes quoting alleged claimed reported term word phrase dijo escribió dit écrit sagte schrieb nannte mot palabra wort".split())
 OPENING, CLOSING, EITHER = "“«„‹", "”»“›", '"'
@@ -127,6 +134,13 @@ class Scoring:
     quoted: float = 0.2
     reported: float = 0.5
     addressed: float = 1.5
+    #: Words within which hits are summed.
+    span: int = 50
+    #: Different clearly misspelled terms within the span that count without an exact hit.
+    unlike: int = 3
+    #: A near word is one of its own if so many documents have it, and so large a share of those that have the term.
+    own_documents: int = 5
+    own_share: float = 0.1
 
 
 def context(before: str, after: str, how: Scoring) -> tuple[float, bool]:
@@ -143,6 +157,36 @@ def context(before: str, after: str, how: Scoring) -> tuple[float, bool]:
     return (how.reported, True) if around & REPORTS else (1.0, False)
 
 
+def clear(word: str, term: str, edits: int) -> bool:
+    """Whether a near word can hardly be another word."""
+    return edits == 1 and (len(term) >= 8 or [c for c, _ in groupby(word)] == [c for c, _ in groupby(term)])
+
+
+@dataclass(frozen=True)
+class Hit:
+    place: int
+    term: str
+    edits: int
+    score: float
+    quoted: bool
+    clear: bool
+
+
+def worst(hits: list[Hit], how: Scoring) -> float:
+    """The highest sum of the hits (in order of place) within the span."""
+    most, first = 0.0, 0
+    for last, hit in enumerate(hits):
+        while hit.place - hits[first].place >= how.span:
+            first += 1
+        near = hits[first : last + 1]
+        exact = [x for x in near if not x.edits]
+        if not any(not x.quoted for x in exact):
+            sure = [x for x in near if x.clear]
+            near = exact + sure if len({x.term for x in sure}) >= how.unlike else exact
+        most = max(most, sum(x.score for x in near))
+    return most
+
+
 class Judge:
     """Scores texts; made once in each Python worker."""
 
@@ -154,8 +198,27 @@ class Judge:
         self.first[list(starts)] = True
         self.shortest, self.longest = min(lengths) - 4, max(lengths) + 8
 
+    def match(self, word: str) -> tuple[str, int] | None:
+        if word in self.how.allowed:
+            return None
+        return (word[:-1], 0) if word.endswith("s") and word[:-1] in self.how.lexicon and word not in self.how.lexicon else self.automaton.match(word)
+
+    def by_row(self, texts: pa.Array) -> dict[int, list[Hit]]:
+        """The hits of every row that has some."""
+        out: dict[int, list[Hit]] = {}
+        for row, i, word, lo, hi, (s, e, data), term, edits in self.found(texts):
+            factor, quoted = context(data[lo : s[i]].tobytes().decode(errors="ignore"), data[e[i] : hi].tobytes().decode(errors="ignore"), self.how)
+            out.setdefault(row, []).append(Hit(i, term, edits, self.how.lexicon[term] * factor * (self.how.misspelled if edits else 1.0), quoted, clear(word, term, edits)))
+        return out
+
     def hits(self, texts: pa.Array) -> Iterator[tuple[int, str, int, float, bool]]:
         """(row, term, edits, score, quoted) of every hit."""
+        for row, hits in self.by_row(texts).items():
+            for x in hits:
+                yield row, x.term, x.edits, x.score, x.quoted
+
+    def found(self, texts: pa.Array) -> Iterator[tuple]:
+        """(row, place, word, begin and end of the words around it, where words are, term, edits) of every hit."""
         h, offsets, data, s, e = words(texts, spans=True)
         size = e - s
         some = np.flatnonzero(self.first[data[s]] & (size >= self.shortest) & (size <= self.longest)) if len(s) else s
@@ -169,7 +232,7 @@ class Judge:
         for k, (key, i) in enumerate(zip(kinds.tolist(), some[at].tolist())):
             if key not in self.known:
                 word = data[s[i] : e[i]].tobytes().decode()
-                self.known[key] = None if word in self.how.allowed else self.automaton.match(word)
+                self.known[key] = self.match(word)
             if (m := self.known[key]) is not None:
                 hit[k], found[k] = True, m
         rows = np.searchsorted(offsets, some, side="right") - 1
@@ -179,26 +242,41 @@ class Judge:
             a, b = max(int(offsets[row]), i - self.how.window), min(int(offsets[row + 1]), i + self.how.window + 1)
             lo = e[a - 1] if a > offsets[row] else 0 if row == 0 else max(0, int(s[a]) - 8)
             hi = s[b] if b < offsets[row + 1] else min(len(data), int(e[b - 1]) + 4)
-            factor, quoted = context(data[lo : s[i]].tobytes().decode(errors="ignore"), data[e[i] : hi].tobytes().decode(errors="ignore"), self.how)
-            yield row, term, edits, self.how.lexicon[term] * factor * (self.how.misspelled if edits else 1.0), quoted
+            yield row, i, data[s[i] : e[i]].tobytes().decode(), lo, hi, (s, e, data), term, edits
+
+
+def own_words(docs: DataFrame, how: Scoring = Scoring(), text_col: str = "text") -> frozenset:
+    """The near words that ``docs`` have too often for misspellings; one row for each near word and task is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge, counts = Judge(how), Counter()
+        for batch in chunks(batches):
+            seen = {(row, word if edits else term, term, edits > 0) for row, _, word, *_, term, edits in judge.found(batch.column("text"))}
+            counts.update(x[1:] for x in seen)
+        word, term, near = zip(*counts) if counts else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(term, pa.string()), pa.array(near, pa.bool_()), pa.array(list(counts.values()), pa.int64())], names=["word", "term", "near", "n"])
+
+    counts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "word string, term string, near boolean, n long").groupBy("word", "term", "near").agg(F.sum("n").alias("n"))
+    rows = counts.where(F.expr(f"not near or n >= {how.own_documents}")).collect()
+    exact = {r["term"]: r["n"] for r in rows if not r["near"]}
+    return frozenset(r["word"] for r in rows if r["near"] and r["n"] >= how.own_share * exact.get(r["term"], 0))
+
+
+def _told(docs: DataFrame, how: Scoring, text_col: str) -> Scoring:
+    """``how`` with the corpus's own words; a stream can't be read beforehand."""
+    return how if docs.isStreaming else replace(how, allowed=how.allowed | own_words(docs, how, text_col))
 
 
 def toxic_documents(docs: DataFrame, how: Scoring = Scoring(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every toxic document: doc_id, score, n_hits, n_quoted, n_misspelled, terms. No shuffle."""
+    """Every toxic document: doc_id, score (of its worst span), n_hits, n_quoted, n_misspelled, terms."""
+    how = _told(docs, how, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(how)
         for batch in chunks(batches):
-            sums: dict[int, list] = {}
-            for row, term, edits, score, quoted in judge.hits(batch.column("text")):
-                x = sums.setdefault(row, [0.0, 0, 0, 0, set()])
-                x[0] += score
-                x[1] += 1
-                x[2] += quoted
-                x[3] += edits > 0
-                x[4].add(term)
-            ids = batch.column("doc_id").to_pylist() if sums else []
-            out = [(ids[r], round(x[0], 6), x[1], x[2], x[3], " ".join(sorted(x[4]))) for r, x in sums.items() if x[0] >= how.threshold - 1e-9]
+            rows = judge.by_row(batch.column("text"))
+            ids = batch.column("doc_id").to_pylist() if rows else []
+            out = [(ids[r], round(score, 6), len(x), sum(h.quoted for h in x), sum(h.edits > 0 for h in x), " ".join(sorted({h.term for h in x}))) for r, x in rows.items() if (score := worst(x, how)) >= how.threshold - 1e-9]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(list(zip(*out)) or [()] * 6, (pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "score", "n_hits", "n_quoted", "n_misspelled", "terms"])
 
     return plain(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, n_hits long, n_quoted long, n_misspelled long, terms string")
@@ -206,19 +284,19 @@ def toxic_documents(docs: DataFrame, how: Scoring = Scoring(), id_col: str = "do
 
 def without_toxic(docs: DataFrame, how: Scoring = Scoring(), text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not toxic, all columns as they are; a row filter, without a join."""
+    how = _told(docs, how, text_col)
     judges: list[Judge] = []
 
     @F.arrow_udf("boolean")
     def toxic(texts: pa.Array) -> pa.Array:
         if not judges:
             judges.append(Judge(how))
-        out, done = [], 0
+        out = []
         for part in chunks(iter([pa.RecordBatch.from_arrays([texts], ["text"])])):
-            sums = np.zeros(part.num_rows)
-            for row, _, _, score, _ in judges[0].hits(part.column(0)):
-                sums[row] += score
-            out.append(sums >= how.threshold - 1e-9)
-            done += part.num_rows
+            found = np.zeros(part.num_rows, bool)
+            for row, hits in judges[0].by_row(part.column(0)).items():
+                found[row] = worst(hits, how) >= how.threshold - 1e-9
+            out.append(found)
         return pa.array(np.concatenate(out) if out else np.zeros(0, bool))
 
     return docs.where(~toxic(docs[text_col].cast("string")))
