@@ -78,3 +78,14 @@ def test_perplexities_and_verdicts(spark):
             assert r["keep"] == (r["perplexity"] <= r["threshold"])
     assert got[100, "en"]["keep"] is False and len(got) == len(rows) - 1
     assert q.judge(docs.limit(0), spark.createDataFrame(labels, LABELS)).count() == 0
+
+
+def test_digits_are_told_apart_like_letters(spark):
+    """Texts with digits get what the same texts get with a letter of its own for each digit; five characters are seen."""
+    assert q.Model().order >= 5
+    rng = random.Random(5)
+    rows = [(k, "en", " ".join(f"no {rng.choice([1999, 2024, 7])} of {rng.randrange(50)}" for _ in range(12))) for k in range(16)] + [(50, "en", "no 1999 of 2024"), (51, "en", "no 9919 of 4202")]
+    letters = str.maketrans("0123456789", "ABCDEFGHIJ")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(16)], LABELS)
+    one, two = ({r["doc_id"]: r["perplexity"] for r in q.judge(spark.createDataFrame(x, "doc_id long, lang string, text string"), labels).collect()} for x in (rows, [(i, l, t.translate(letters)) for i, l, t in rows]))
+    assert all(abs(one[i] - two[i]) < 1e-6 for i in one) and one[50] < one[51]
