@@ -89,3 +89,15 @@ def test_digits_are_told_apart_like_letters(spark):
     labels = spark.createDataFrame([(k, 1, 0) for k in range(16)], LABELS)
     one, two = ({r["doc_id"]: r["perplexity"] for r in q.judge(spark.createDataFrame(x, "doc_id long, lang string, text string"), labels).collect()} for x in (rows, [(i, l, t.translate(letters)) for i, l, t in rows]))
     assert all(abs(one[i] - two[i]) < 1e-6 for i in one) and one[50] < one[51]
+
+
+def test_language_with_all_trusted_text_in_one_half(spark):
+    rows = [(1, "aa", "the one trusted text of a rare language"), (2, "aa", "another text of a rare language"), (3, None, "zu ko pa zu ko"), (4, None, "ko pa zu")]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = {r["doc_id"]: r for r in q.judge(docs, spark.createDataFrame([(1, 1, 0), (3, 1, 0)], LABELS)).collect()}
+    halves = dict(map(tuple, docs.selectExpr("doc_id", "cast(pmod(xxhash64(doc_id), 2) as int)").collect()))
+    trusted = {k: halves[k] for k in (1, 3)}
+    log = brute(rows, trusted, q.Model().order)
+    for (i, lang, text), own in zip(rows, (1, 1, 3, 3)):
+        assert got[i]["threshold"] is None and got[i]["keep"]
+        assert abs(math.log(got[i]["perplexity"]) - log(halves[own], lang, text)) < 1e-5 and got[i]["perplexity"] > 1.1

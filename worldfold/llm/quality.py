@@ -7,12 +7,14 @@ once by joins with the tables of all orders, and the answers go back to the bloc
 
 A text is no surprise to a model that was trained on it, so the trusted documents are split in two (by a hash of doc_id) and
 each half trains a model: a trusted document is scored by the other half's, any other by both (the geometric mean of the perplexities). A
-document's perplexity is compared with a quantile of all trusted documents' perplexities in its language.
+document's perplexity is compared with a quantile of all trusted documents' perplexities in its language. Where one half has no
+text of a language, the other's model scores all its documents; its own trusted documents, which it was trained on, then give no
+threshold.
 
 Characters, not words, as words of noise are mostly new in clean and in bad documents alike.
 
 Defined cases: null and empty texts have no perplexity and aren't kept; a null language is one of its own; documents of a
-language without trusted text have no threshold and are kept; a document is trusted if all its labels are 1 and it has one; repeated rows
+language without trusted text, or with all of it in one half, have no threshold and are kept; a document is trusted if all its labels are 1 and it has one; repeated rows
 are judged row by row, and count as often in training; a perplexity equal to the threshold is kept; empty tables give an
 empty result; further columns are ignored, whatever their names.
 """
@@ -278,10 +280,17 @@ def _judged(slim: DataFrame, good: DataFrame, model: Model) -> DataFrame:
     good = written(good.withColumn("half", F.expr("cast(pmod(xxhash64(doc_id), 2) as int)")), "trusted")
     trusted = slim.where("text is not null").join(hinted(good), "doc_id")
     counts = count_grams(trusted.select(_named(F.col("half"), F.col("lang")).alias("lang"), "text"), model.order)
-    logs = perplexities(slim, train(counts, model.order), model).join(hinted(good), "doc_id", "left")
-    fair = F.when(F.col("half") == 0, F.col("log1")).when(F.col("half") == 1, F.col("log0")).otherwise((F.col("log0") + F.col("log1")) / 2)
-    scores = written(logs.select("doc_id", "lang", "n_chars", "half", F.when(F.col("n_chars") > 0, F.exp(fair)).alias("perplexity")), "perplexities")
-    limits = scores.where("half is not null").groupBy("lang").agg(F.percentile_approx("perplexity", model.quantile, 10_000).alias("threshold"))
+    tables = train(counts, model.order)
+    models = written(tables[0][1].select("lang"), "models")
+    logs = perplexities(slim, tables, model).join(hinted(good), "doc_id", "left")
+    for k in (0, 1):
+        logs = logs.join(F.broadcast(models.select(F.col("lang").alias(f"of{k}"))), _named(F.lit(k), F.col("lang")) == F.col(f"of{k}"), "left")
+    log0, log1 = (F.when(F.col(f"of{k}").isNotNull(), F.col(f"log{k}")) for k in (0, 1))
+    some = F.coalesce(log0, log1, F.lit(0.0))
+    log = F.when(F.col("half") == 0, F.coalesce(log1, some)).when(F.col("half") == 1, F.coalesce(log0, some)).otherwise(F.coalesce((log0 + log1) / 2, some))
+    fair = F.coalesce(F.when(F.col("half") == 0, log1).otherwise(log0).isNotNull() & F.col("half").isNotNull(), F.lit(False))
+    scores = written(logs.select("doc_id", "lang", "n_chars", fair.alias("fair"), F.when(F.col("n_chars") > 0, F.exp(log)).alias("perplexity")), "perplexities")
+    limits = scores.where("fair").groupBy("lang").agg(F.percentile_approx("perplexity", model.quantile, 10_000).alias("threshold"))
     out = scores.alias("s").join(F.broadcast(limits).alias("l"), F.col("s.lang").eqNullSafe(F.col("l.lang")), "left")
     keep = F.col("perplexity").isNotNull() & (F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold")))
     return out.select("doc_id", "s.lang", "n_chars", F.round("perplexity", 9).alias("perplexity"), F.round("threshold", 9).alias("threshold"), keep.alias("keep"))
