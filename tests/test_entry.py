@@ -39,6 +39,20 @@ def test_query_matches_its_sql(spark, name):
     compare(spark, name)
 
 
+def test_whole_queries_leave_no_entity_out(spark):
+    """Beside what SQL holds to some ids, each operator runs over all entities, and says the same of those ids."""
+    told = lambda name: [tuple(r) for r in entry.queries()[name](spark, str(SF)).collect()]
+    kinds = lambda rows: {r[0].split("_")[0] for r in rows}
+    ways = told("path_shortest_whole")
+    assert len({a for a, _, _ in ways}) > 2 and set(told("path_shortest")) <= set(ways)
+    ranked = told("salience_whole")
+    assert kinds(ranked) > kinds(told("salience")) and set(told("salience")) <= set(ranked)
+    chains = told("locate_chain_whole")
+    assert kinds(chains) > {"obj:part"} and set(told("locate_chain")) <= set(chains)
+    assert len({r[1] for r in told("confidence_whole")}) > 1
+    assert {k.split(":")[0] for k in kinds(told("budget_topk"))} > {"place", "person"}
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 

@@ -458,8 +458,37 @@ def salience(spark, d):
 @query()
 def budget_topk(spark, d):
     s = snapshot(spark, d)
-    folded = fold.fold(s, POLICY, no_canon(s), where=F.col("entity").startswith("place:") | F.col("entity").startswith("person:supp"))
-    return trust.budgeted(folded, trust.salience(s, POLICY, no_canon(s)), 50).select("entity", "attribute", "winner_id")
+    canon = identity.canon_map(s)
+    return trust.budgeted(fold.fold(s, POLICY, canon), trust.salience(s, POLICY, canon), 50).select("entity", "attribute", "winner_id")
+
+
+@query()
+def locate_chain_whole(spark, d):
+    """Of everything that is anywhere, not of parts only; likewise the other queries of this name."""
+    found = walks.locate(places(snapshot(spark, d)))
+    return found.select("entity", F.array_join("chain", ">").alias("chain"), F.size("chain").cast("long").alias("depth"))
+
+
+@query()
+def path_shortest_whole(spark, d):
+    edges = walks.lateral_edges(snapshot(spark, d))
+    ends = edges.select(F.col("x").alias("a")).distinct()
+    found = walks.shortest(edges, ends.crossJoin(ends.select(F.col("a").alias("b"))))
+    return found.where("path is not null").select("a", "b", F.array_join("path", ">").alias("path"))
+
+
+@query()
+def confidence_whole(spark, d):
+    s = snapshot(spark, d)
+    canon = identity.canon_map(s)
+    found = trust.confidence(s, POLICY, canon, fold.fold(s, POLICY, canon))
+    return found.select("entity", "attribute", "frame", F.round("confidence", 9).alias("confidence"))
+
+
+@query()
+def salience_whole(spark, d):
+    s = snapshot(spark, d)
+    return trust.salience(s, POLICY, identity.canon_map(s)).select("entity", F.round("salience", 9).alias("salience"))
 
 
 @query()
