@@ -15,6 +15,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     docs = [(i, t, "en", "s", None if t is None else len(t)) for i, t in rows]
     spark.createDataFrame(docs, schema).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(bench, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, 1, 0), (600, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     got = {r["doc_id"]: r["tokens"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
 
     import pyarrow as pa
@@ -49,6 +50,7 @@ def test_stages_pass_all_columns_on(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     none = spark.createDataFrame([], schema)
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     none.write.parquet(str(tmp_path / "documents.parquet"))
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, none, str(tmp_path)).columns == none.columns

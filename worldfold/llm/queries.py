@@ -53,7 +53,7 @@ select doc_id, keep_id, n_copies from (
 
 @query
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.toxic_documents(_table(spark, sf_dir, "documents"))
+    return toxicity.toxic_documents(_table(spark, sf_dir, "documents"), labels=_table(spark, sf_dir, "labels"))
 
 
 @query

@@ -126,7 +126,7 @@ def merged(runs: list[Iterator[tuple[bytes, int, object]]]) -> Iterator[tuple[by
 
 def _suffixes(batch: pa.RecordBatch, how: Sparse) -> Iterator[tuple[bytes, int, int]]:
     """(key, doc_id, first word) of every suffix of the sparse array."""
-    h, offsets, data, s, e = words(batch.column("text"), spans=True)
+    h, offsets, data, s, e, _ = words(batch.column("text"), spans=True)
     at = minima(window_hashes(h, how.gram), how.window)
     if not len(at):
         return

@@ -14,23 +14,31 @@ that isn't quoted, or where ``unlike`` different terms are clearly misspelled wi
 or is in a term of 8 letters or more); and a near word that the corpus itself has often (``own_words``) is a word of its
 own and no hit at all. A term with a plural s is an exact hit.
 
+The terms come from a short list of strong ones and, where ``labels`` are given, from them: words that toxic documents of a
+language have far more often than clean ones of any language (log odds over whole texts). A learned term alone is never
+enough, whoever is addressed: two must meet within the span, as chance brings single ones into clean texts too.
+
 Defined cases: a null or empty text has no hit and is not toxic; repeated rows and ties are judged row by row, a null
-doc_id is passed through; an empty table gives an empty result; any further columns are ignored or passed through.
+doc_id is passed through; an empty table gives an empty result, and empty labels teach nothing; a doc_id labelled twice is toxic
+if one label says so; very long texts are judged whole, span by span; any further columns are ignored or passed through.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field, replace
 from itertools import groupby
+from math import log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import chunks, plain, words
+from ..storage import scratch, written
+from .words import WORD_RE, chunks, plain, words
 
 LEXICON: dict[str, float] = {
     **dict.fromkeys("idiot moron stupid pathetic worthless scum disgusting imbecile vermin degenerate subhuman bastard dumbass scumbag".split(), 1.0),
@@ -41,6 +49,7 @@ LEXICON: dict[str, float] = {
 ALLOWED = frozenset("lower loner laser closer loose looser crown crash thrash trasher sloped motion motor mormon studio stupor bastion bustard patheticism stupidity".split())
 ADDRESS = frozenset("you your you're youre yours u ur yourself du dich dein deine ihr tu toi ton votre vous vos te tú usted eres".split())
 REPORTS = frozenset("said says wrote writes called calls quoted quote quotes quoting alleged claimed reported term word phrase dijo escribió dit écrit sagte schrieb nannte mot palabra wort".split())
+_WORD = re.compile(WORD_RE)
 OPENING, CLOSING, EITHER = "“«„‹", "”»“›", '"'
 
 
@@ -50,6 +59,8 @@ class Automaton:
 
     terms: Mapping[str, float]
     first_letter: bool = True
+    #: Terms that allow one edit at most.
+    tight: frozenset = frozenset()
     _child: list[dict[str, int]] = field(default_factory=list)
     _term: list[str | None] = field(default_factory=list)
     _room: list[int] = field(default_factory=list)
@@ -61,7 +72,7 @@ class Automaton:
     def __post_init__(self) -> None:
         self._node()
         for term in self.terms:
-            at, room = 0, self.allowance(term)
+            at, room = 0, self.room(term)
             self._room[0] = max(self._room[0], room)
             for c in term:
                 if c not in self._child[at]:
@@ -75,6 +86,9 @@ class Automaton:
     def allowance(term: str) -> int:
         return 0 if len(term) < 5 else 1 if len(term) < 8 else 2
 
+    def room(self, term: str) -> int:
+        return min(self.allowance(term), 1) if term in self.tight else self.allowance(term)
+
     def _node(self) -> int:
         self._child.append({})
         self._term.append(None)
@@ -97,7 +111,7 @@ class Automaton:
             self._ids[key] = len(self._sets)
             self._sets.append(key)
             self._steps.append({})
-            ends = [(e, self._term[n]) for n, e in key if self._term[n] is not None and e <= self.allowance(self._term[n])]
+            ends = [(e, self._term[n]) for n, e in key if self._term[n] is not None and e <= self.room(self._term[n])]
             self._ends.append((min(ends)[1], min(ends)[0]) if ends else None)
         return self._ids[key]
 
@@ -128,6 +142,8 @@ class Automaton:
 class Scoring:
     lexicon: Mapping[str, float] = field(default_factory=lambda: LEXICON)
     allowed: frozenset = ALLOWED
+    #: Terms of the lexicon that were learned from labels.
+    learned: frozenset = frozenset()
     window: int = 8
     threshold: float = 1.0
     misspelled: float = 0.7
@@ -135,7 +151,7 @@ class Scoring:
     reported: float = 0.5
     addressed: float = 1.5
     #: Words within which hits are summed.
-    span: int = 50
+    span: int = 100
     #: Different clearly misspelled terms within the span that count without an exact hit.
     unlike: int = 3
     #: A near word is one of its own if so many documents have it, and so large a share of those that have the term.
@@ -143,6 +159,66 @@ class Scoring:
     own_share: float = 0.1
 
 
+@dataclass(frozen=True)
+class Learning:
+    #: Labelled documents that are read at most, those whose doc_id has the least hashes.
+    documents: int = 12_000
+    #: Toxic documents of a language that have a term, at least, and their share of all its toxic ones.
+    least: int = 3
+    share: float = 0.05
+    #: Log of the odds of a term in toxic documents against clean ones, in any language.
+    odds: float = 2.5
+    #: What a hit counts: below the threshold, even if someone is addressed.
+    severity: float = 0.6
+    #: Terms of a language at most, the most telling ones.
+    terms: int = 500
+
+
+def learn(docs: DataFrame, labels: DataFrame, how: Learning = Learning(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic") -> dict[str, float]:
+    """Terms and severities told by ``labels``: a classifier's weights, fitted on at most ``how.documents`` whole documents."""
+    lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
+    told = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg((F.max(label_col) > 0).alias("toxic"))
+    told = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(how.documents)
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(lang, F.lit("")).alias("lang")).where("text is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for batch in batches:
+            for lang, text, toxic in zip(*(batch.column(c).to_pylist() for c in ("lang", "text", "toxic"))):
+                counts.update((lang, toxic, word) for word in {None, *_WORD.findall(text.lower())})
+        lang, toxic, word = zip(*counts) if counts else ((), (), ())
+        n = np.array(list(counts.values()), np.int64)
+        bad = np.array(toxic, bool)
+        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(word, pa.string()), pa.array(np.where(bad, n, 0)), pa.array(np.where(bad, 0, n))], names=["lang", "word", "bad", "good"])
+
+    with scratch(docs.sparkSession):
+        told = F.broadcast(written(told, "labelled"))  # how.documents rows at most
+        seen = slim.join(told, "doc_id").select("lang", "text", "toxic").mapInArrow(run, "lang string, word string, bad long, good long")
+        counts = written(seen.groupBy("lang", "word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")), "words")
+        total = {r["lang"]: (r["bad"], r["good"]) for r in counts.where("word is null").collect()}
+        if not any(bad for bad, _ in total.values()):
+            return {}
+        # At most 1 / share times the words of a toxic document in each language.
+        often = F.create_map(*[F.lit(x) for lang, (bad, _) in total.items() for x in (lang, float(max(how.least, how.share * bad)))])
+        some = counts.where(F.col("word").isNotNull() & (F.col("bad") >= often[F.col("lang")])).select("word").distinct()
+        rows = counts.join(some, "word").collect()
+    worst: dict[str, float] = {}
+    for r in rows:
+        worst[r["word"]] = max(worst.get(r["word"], 0.0), (r["good"] + 0.5) / (total[r["lang"]][1] + 1))
+    out: dict[str, float] = {}
+    for lang, (bad, _) in total.items():
+        own = [(log((r["bad"] + 0.5) / (bad + 1)) - log(worst[r["word"]]), r["bad"], r["word"]) for r in rows if r["lang"] == lang and r["bad"] >= max(how.least, how.share * bad) and len(r["word"]) > 2]
+        best = sorted((x for x in own if x[0] >= how.odds), key=lambda x: (-x[0] * x[1], x[2]))[: how.terms]
+        out |= dict.fromkeys((x[2] for x in best), how.severity)
+    return out
+
+
+def taught(how: Scoring, terms: Mapping[str, float]) -> Scoring:
+    """``how`` with learned terms beside its own; its own ones keep their severity."""
+    fresh = {t: s for t, s in terms.items() if t not in how.lexicon}
+    return replace(how, lexicon={**how.lexicon, **fresh}, learned=how.learned | frozenset(fresh), allowed=how.allowed - frozenset(fresh))
+
+
 def context(before: str, after: str, how: Scoring) -> tuple[float, bool]:
     """The factor that the text on either side of a hit gives it, and whether it stands in a quotation."""
     opened = before.count(EITHER) % 2 == 1 and EITHER in after
@@ -191,7 +267,7 @@ class Judge:
     """Scores texts; made once in each Python worker."""
 
     def __init__(self, how: Scoring) -> None:
-        self.how, self.automaton, self.known = how, Automaton(how.lexicon), {}
+        self.how, self.automaton, self.known = how, Automaton(how.lexicon, tight=how.learned), {}
         starts = {t[0].encode()[0] for t in how.lexicon if t}
         lengths = [len(t.encode()) for t in how.lexicon] or [0]
         self.first = np.zeros(256, bool)
@@ -219,7 +295,7 @@ class Judge:
 
     def found(self, texts: pa.Array) -> Iterator[tuple]:
         """(row, place, word, begin and end of the words around it, where words are, term, edits) of every hit."""
-        h, offsets, data, s, e = words(texts, spans=True)
+        h, offsets, data, s, e, bounds = words(texts, spans=True)
         size = e - s
         some = np.flatnonzero(self.first[data[s]] & (size >= self.shortest) & (size <= self.longest)) if len(s) else s
         if not len(some):
@@ -240,8 +316,8 @@ class Judge:
             i, row = int(some[j]), int(rows[j])
             term, edits = found[of[j]]
             a, b = max(int(offsets[row]), i - self.how.window), min(int(offsets[row + 1]), i + self.how.window + 1)
-            lo = e[a - 1] if a > offsets[row] else 0 if row == 0 else max(0, int(s[a]) - 8)
-            hi = s[b] if b < offsets[row + 1] else min(len(data), int(e[b - 1]) + 4)
+            lo = e[a - 1] if a > offsets[row] else bounds[row]  # never a byte of a neighbouring text
+            hi = s[b] if b < offsets[row + 1] else bounds[row + 1]
             yield row, i, data[s[i] : e[i]].tobytes().decode(), lo, hi, (s, e, data), term, edits
 
 
@@ -262,14 +338,16 @@ def own_words(docs: DataFrame, how: Scoring = Scoring(), text_col: str = "text")
     return frozenset(r["word"] for r in rows if r["near"] and r["n"] >= how.own_share * exact.get(r["term"], 0))
 
 
-def _told(docs: DataFrame, how: Scoring, text_col: str) -> Scoring:
-    """``how`` with the corpus's own words; a stream can't be read beforehand."""
+def _told(docs: DataFrame, how: Scoring, labels: DataFrame | None, id_col: str, text_col: str) -> Scoring:
+    """``how`` with learned terms and the corpus's own words; a stream can't be read beforehand."""
+    if labels is not None and not docs.isStreaming:
+        how = taught(how, learn(docs, labels, id_col=id_col, text_col=text_col))
     return how if docs.isStreaming else replace(how, allowed=how.allowed | own_words(docs, how, text_col))
 
 
-def toxic_documents(docs: DataFrame, how: Scoring = Scoring(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def toxic_documents(docs: DataFrame, how: Scoring = Scoring(), id_col: str = "doc_id", text_col: str = "text", labels: DataFrame | None = None) -> DataFrame:
     """Every toxic document: doc_id, score (of its worst span), n_hits, n_quoted, n_misspelled, terms."""
-    how = _told(docs, how, text_col)
+    how = _told(docs, how, labels, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(how)
@@ -282,9 +360,9 @@ def toxic_documents(docs: DataFrame, how: Scoring = Scoring(), id_col: str = "do
     return plain(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, n_hits long, n_quoted long, n_misspelled long, terms string")
 
 
-def without_toxic(docs: DataFrame, how: Scoring = Scoring(), text_col: str = "text") -> DataFrame:
+def without_toxic(docs: DataFrame, how: Scoring = Scoring(), text_col: str = "text", labels: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that are not toxic, all columns as they are; a row filter, without a join."""
-    how = _told(docs, how, text_col)
+    how = _told(docs, how, labels, id_col, text_col)
     judges: list[Judge] = []
 
     @F.arrow_udf("boolean")

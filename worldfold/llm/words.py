@@ -71,7 +71,7 @@ def _segment(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def words(texts: pa.Array, spans: bool = False):
     """``(hashes, offsets)``: the words of all texts in a row, those of text k at ``offsets[k]:offsets[k + 1]``.
 
-    With ``spans`` also the lower-cased bytes and every word's start and end in them.
+    With ``spans`` also the lower-cased bytes, every word's start and end in them, and where each text begins.
     """
     low = pc.fill_null(pc.utf8_lower(texts.cast(pa.large_string())), "")
     if isinstance(low, pa.ChunkedArray):
@@ -96,7 +96,7 @@ def words(texts: pa.Array, spans: bool = False):
     cat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
     h, s = cat(hashes, np.uint64), cat(starts, np.int64)
     offsets = np.searchsorted(s, bounds)
-    return (h, offsets, data, s, cat(ends, np.int64)) if spans else (h, offsets)
+    return (h, offsets, data, s, cat(ends, np.int64), bounds) if spans else (h, offsets)
 
 
 def window_hashes(h: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
