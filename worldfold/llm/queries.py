@@ -58,16 +58,18 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.similar_pairs(_table(spark, sf_dir, "documents"))
+    return jaccard_join.similar_classes(_table(spark, sf_dir, "documents"))
 
 
 ORACLES["op9_ngram_jaccard_join"] = """
-with w as (select doc_id, regexp_extract_all(lower(text), '[0-9a-z\\x{80}-\\x{10FFFF}]+') ws from documents where doc_id is not null),
+with recursive w as (select doc_id, regexp_extract_all(lower(text), '[0-9a-z\\x{80}-\\x{10FFFF}]+') ws from documents where doc_id is not null),
 g as (select distinct doc_id, unnest(case when len(ws) >= 2 then [ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))] else ws end) as gram from w),
 s as (select doc_id, count(*) n from g group by doc_id),
-o as (select a.doc_id as doc_a, b.doc_id as doc_b, count(*) c from g a join g b on a.gram = b.gram and a.doc_id < b.doc_id group by 1, 2)
-select doc_a, doc_b, c / (x.n + y.n - c) as jaccard
-from o join s x on x.doc_id = doc_a join s y on y.doc_id = doc_b where c >= 0.7 * (x.n + y.n - c) - 1e-9"""
+o as (select a.doc_id as x, b.doc_id as y, count(*) c from g a join g b on a.gram = b.gram and a.doc_id <> b.doc_id group by 1, 2),
+e as (select o.x, o.y from o join s p on p.doc_id = o.x join s q on q.doc_id = o.y where c >= 0.7 * (p.n + q.n - c) - 1e-9),
+r(doc_id, reach) as (select distinct x, x from e union select r.doc_id, e.y from r join e on r.reach = e.x)
+select c.doc_id, c.class_id, l.n_links from (select doc_id, min(reach) as class_id from r group by doc_id) c
+join (select x as doc_id, count(*) as n_links from e group by x) l on l.doc_id = c.doc_id"""
 
 
 @query
