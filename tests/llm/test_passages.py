@@ -86,3 +86,23 @@ def test_known_prefixes_are_not_compared_again(monkeypatch):
     runs = [iter([(long + bytes([c]), 0 if c == i else 500, None) for c in range(i, 200, 3)]) for i in range(3)]
     assert len(list(x.merged(runs))) == 200
     assert sum(k < 500 for k in looked) <= 3
+
+
+@pytest.mark.parametrize("most", [0, 40, 10**6])
+def test_pages_merge_as_they_come(most):
+    """Runs of pages in the order of their first keys, with one key that fills most pages, whatever is held at once."""
+    rng = random.Random(21)
+    for trial in range(20):
+        runs = [sorted((rng.choice([b"same", bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 6)))]), rng.randrange(5), k) for k in range(rng.randrange(60))) for _ in range(4)]
+        pages = [p for i, run in enumerate(runs) for batch in x.front_coded(run, i, 7) for p in batch.to_pylist()]
+        pages.sort(key=lambda p: (p["first"], p["run"], p["page"]))
+        out = list(x.in_order(iter(pages), most))
+        keys = [k for k, _, _ in out]
+        assert keys == sorted(k for run in runs for k, _, _ in run)
+        assert all(n == x.common(a, b, 0) for a, (b, n, _) in zip([b"", *keys], out))
+        docs = defaultdict(set)
+        for run in runs:
+            for k, i, _ in run:
+                docs[k].add(i)
+        want = sorted((i, p) for run in runs for k, i, p in run if len(docs[k]) > 1)
+        assert sorted(x.agreeing(iter(out))) == want

@@ -1,7 +1,8 @@
 """Suffix-array deduplication by a distributed merge sort that knows common prefixes.
 
-Each task sorts the suffixes of its documents into a run and front-codes it: every suffix is stored as the length
-that it shares with the one before, and the rest. Pages of these runs are exchanged by key range; in each range the
+Each task sorts the suffixes of its documents into runs and front-codes them: every suffix is stored as the length
+that it shares with the one before, and the rest. Pages of these runs are exchanged by key range (cut where a range ends) and come in the order
+of their first keys; pages are decoded as the merge reaches them, and in each range the
 runs meet in a loser tree in which each loser holds its common prefix with the winner that beat it, so that two
 suffixes are compared only from the first letter that isn't known to be equal. Neighbours in the merged order that agree
 throughout come out with no further comparison.
@@ -17,9 +18,10 @@ repeated under one doc_id are one document, empty tables give empty results, fur
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..storage import drop, kept, new_path, scratch, settled
 from .passages import confirm
-from .words import _LUT, chunks, plain, window_hashes, words
+from .words import _LUT, chunks, plain, trim, window_hashes, words
 
 PAGE = "run long, page int, first binary, last binary, n int, shared binary, size binary, rest binary, doc_ids binary, pos binary"
 
@@ -39,7 +41,9 @@ class Sparse:
     length: int = 50
     gram: int = 8
     window: int = 34
-    page: int = 1024
+    page: int = 512
+    #: Bytes of text whose suffixes a worker sorts at once.
+    run: int = 16 << 20
 
     def __post_init__(self) -> None:
         if self.depth < self.gram:
@@ -158,22 +162,15 @@ def front_coded(run: list[tuple[bytes, int, int]], number: int, page: int) -> It
         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=[x.split()[0] for x in PAGE.split(", ")])
 
 
-def _decoded(pages: list[dict], low: bytes | None, high: bytes | None) -> Iterator[tuple[bytes, int, tuple[int, int]]]:
-    """The keys of a run from ``low`` to before ``high``."""
-    before: bytes | None = None
-    for page in pages:
-        shared, size, rest = np.frombuffer(page["shared"], np.int32).tolist(), np.frombuffer(page["size"], np.int32).tolist(), page["rest"]
-        ids, pos = np.frombuffer(page["doc_ids"], np.int64).tolist(), np.frombuffer(page["pos"], np.int32).tolist()
-        key, at = b"", 0
-        for k, (n, m) in enumerate(zip(shared, size)):
-            key = key[:n] + rest[at : at + m]
-            at += m
-            if low is not None and key < low:
-                continue
-            if high is not None and key >= high:
-                return
-            yield key, 0 if before is None else n if k else common(before, key, 0), (ids[k], pos[k])
-            before = key
+def decoded(page: dict) -> list[tuple[bytes, int, tuple[int, int]]]:
+    """(key, prefix shared with the key before, (doc_id, first word)) of every suffix of a page."""
+    out, key, at, rest = [], b"", 0, page["rest"]
+    shared, size = np.frombuffer(page["shared"], np.int32).tolist(), np.frombuffer(page["size"], np.int32).tolist()
+    for n, m, i, p in zip(shared, size, np.frombuffer(page["doc_ids"], np.int64).tolist(), np.frombuffer(page["pos"], np.int32).tolist()):
+        key = key[:n] + rest[at : at + m]
+        at += m
+        out.append((key, n, (i, p)))
+    return out
 
 
 def sorted_runs(slim: DataFrame, how: Sparse, path: str) -> DataFrame:
@@ -183,7 +180,7 @@ def sorted_runs(slim: DataFrame, how: Sparse, path: str) -> DataFrame:
         for batch in chunks(batches):
             held.extend(_suffixes(batch, how))
             size += batch.nbytes
-            if size > 48 << 20:  # a run fits in a worker's memory
+            if size > how.run:  # a run fits in a worker's memory
                 held.sort()
                 yield from front_coded(held, name(), how.page)
                 number, held, size = number + 1, [], 0
@@ -194,6 +191,58 @@ def sorted_runs(slim: DataFrame, how: Sparse, path: str) -> DataFrame:
     return slim.sparkSession.read.schema(PAGE).parquet(path)
 
 
+def in_order(pages: Iterator[dict], most: int) -> Iterator[tuple[bytes, int, tuple[int, int]]]:
+    """All suffixes of the pages, which come in the order of their first keys, merged: (key, prefix shared with the one before, payload).
+
+    Of each run only what may still be needed is held: whenever ``most`` bytes of pages wait, everything up to the first key
+    of the next page goes through the tree; a key that repeats without end streams by.
+    """
+    waiting: dict[int, list] = {}
+    before, size = b"", 0
+
+    def settle(high: bytes | None) -> Iterator[tuple[bytes, int, tuple[int, int]]]:
+        nonlocal before
+        heads = []
+        for run, held in list(waiting.items()):
+            cut = len(held) if high is None else bisect_right(held, high, key=lambda x: x[0])
+            if cut:
+                heads.append(iter(held[:cut]))
+            if cut < len(held):
+                waiting[run] = held[cut:]
+            else:
+                del waiting[run]
+        for k, (key, n, payload) in enumerate(merged(heads)):
+            yield key, n if k else common(before, key, 0), payload
+            before = key
+
+    for page in pages:
+        if size > most:
+            yield from settle(page["first"])
+            size = 0
+        held, more = waiting.setdefault(page["run"], []), decoded(page)
+        if held:
+            more[0] = (more[0][0], common(held[-1][0], more[0][0], 0), more[0][2])
+        held.extend(more)
+        size += len(page["rest"]) + 12 * page["n"]
+    yield from settle(None)
+
+
+def agreeing(ordered: Iterator[tuple[bytes, int, tuple[int, int]]]) -> Iterator[tuple[int, int]]:
+    """(doc_id, first word) of the suffixes whose key another document has too; a group is let go as soon as a second document is seen."""
+    last, group, several = None, [], False
+    for key, n, payload in ordered:
+        if last is None or n < len(key) or n < len(last):
+            group, several = [], False
+        last = key
+        if several:
+            yield payload
+            continue
+        group.append(payload)
+        if payload[0] != group[0][0]:
+            yield from group
+            group, several = [], True
+
+
 def agreeing_suffixes(slim: DataFrame, how: Sparse) -> DataFrame:
     """(doc_id, pos) of the suffixes that agree to the depth with one of another document."""
     spark = slim.sparkSession
@@ -203,46 +252,33 @@ def agreeing_suffixes(slim: DataFrame, how: Sparse) -> DataFrame:
     bounds = splitters(pages, parts)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every page under the range that it is in; one across several ranges is cut between them, so that no suffix is sent twice."""
         for batch in batches:
-            ranges = [range(bisect_right(bounds, a), bisect_right(bounds, b) + 1) for a, b in zip(batch.column("first").to_pylist(), batch.column("last").to_pylist())]
-            of = pa.array([k for k, r in enumerate(ranges) for _ in r], pa.int64())
-            out = batch.take(of)
-            yield pa.RecordBatch.from_arrays([pa.array([x for r in ranges for x in r], pa.int32()), *out.columns], names=["part", *out.schema.names])
+            low = [bisect_right(bounds, x) for x in batch.column("first").to_pylist()]
+            high = [bisect_right(bounds, x) for x in batch.column("last").to_pylist()]
+            whole = np.array(low) == np.array(high)
+            some = batch.filter(pa.array(whole))
+            if some.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(low, np.int32)[whole]), *some.columns], names=["part", *some.schema.names])
+            for page in batch.filter(pa.array(~whole)).to_pylist():
+                keys = [(key, i, p) for key, _, (i, p) in decoded(page)]
+                cuts = [0, *(bisect_left(keys, (bounds[k],)) for k in range(bisect_right(bounds, page["first"]), bisect_right(bounds, page["last"]))), len(keys)]
+                for a, b in zip(cuts, cuts[1:]):
+                    for cut in front_coded(keys[a:b], page["run"], how.page):
+                        part = bisect_right(bounds, cut.column("first")[0].as_py())
+                        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *cut.columns], names=["part", *cut.schema.names])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, runs = None, {}
-
-        def settle() -> Iterator[pa.RecordBatch]:
-            low, high = bounds[part - 1] if part else None, bounds[part] if part < len(bounds) else None
-            before, group, out = None, [], []
-            for key, n, payload in merged([_decoded(p, low, high) for p in runs.values()]):
-                if before is None or n < len(key) or n < len(before):
-                    if len(group) > 1 and any(g[0] != group[0][0] for g in group):
-                        out += group
-                    group = []
-                    if len(out) > 50_000:
-                        yield rows(out)
-                        out = []
-                group.append(payload)
-                before = key
-            if len(group) > 1 and any(g[0] != group[0][0] for g in group):
-                out += group
-            yield rows(out)
-
-        def rows(out: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32())], names=["doc_id", "pos"])
-
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["part"] != part:
-                    if part is not None:
-                        yield from settle()
-                    part, runs = row["part"], {}
-                runs.setdefault(row["run"], []).append(row)
-        if part is not None:
-            yield from settle()
-
-    exchanged = pages.mapInArrow(place, "part int, " + PAGE).repartition(parts, "part").sortWithinPartitions("part", "run", "page")
+        rows = (row for batch in batches for k in range(batch.num_rows) for row in batch.slice(k, 1).to_pylist())
+        try:
+            for _, pages in groupby(rows, key=lambda x: x["part"]):
+                found = agreeing(in_order(pages, how.run // 8))
+                while out := list(islice(found, 50_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32())], names=["doc_id", "pos"])
+        finally:
+            trim()
+
+    exchanged = pages.mapInArrow(place, "part int, " + PAGE).repartition(parts, "part").sortWithinPartitions("part", "first", "run", "page")
     found = settled(exchanged.mapInArrow(merge, "doc_id long, pos int"), "agreeing")
     drop(spark, path)
     return found

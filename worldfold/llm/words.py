@@ -6,6 +6,7 @@ separates. ``WORD_RE`` is the same definition for brute-force versions and SQL.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -115,15 +116,27 @@ def window_hashes(h: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
     return out
 
 
+def trim() -> None:
+    """Give freed memory back: reused workers would hold the most that any task took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Batches of at most ``most`` bytes of text, or of one row."""
-    for batch in batches:
-        size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
-        part = np.cumsum(size) // most
-        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
-        for a, b in zip(cuts, cuts[1:]):
-            if b > a:
-                yield batch.slice(a, b - a)
+    try:
+        for batch in batches:
+            size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+            part = np.cumsum(size) // most
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if b > a:
+                    yield batch.slice(a, b - a)
+    finally:
+        trim()
 
 
 def plain(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
