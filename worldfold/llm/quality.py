@@ -2,8 +2,9 @@
 
 Training counts the highest order in all trusted documents; lower orders count the distinct letters to the left.
 Discounts, context totals and back-off weights are aggregates and joins of count tables sharded by n-gram. For scoring,
-documents are packed into blocks; each block asks once for each n-gram that it holds, every distinct n-gram is scored
-once by joins with the tables of all orders, and the answers go back to the block, which adds them up by document.
+documents are packed into blocks (a task's documents, up to ``block`` bytes); each block asks once for each n-gram that it holds, every distinct n-gram is scored
+once by joins with the tables of the orders down to one that it was seen in, and the answers go back to the block, which adds them up by document.
+Input that isn't a plain scan of files is written first, as it is read twice and must come in the same order.
 
 A text is no surprise to a model that was trained on it, so the trusted documents are split in two (by a hash of doc_id) and
 each half trains a model: a trusted document is scored by the other half's, any other by both (the geometric mean of the perplexities). A
@@ -16,7 +17,7 @@ Characters, not words, as words of noise are mostly new in clean and in bad docu
 Defined cases: null and empty texts have no perplexity and aren't kept; a null language is one of its own; documents of a
 language without trusted text, or with all of it in one half, have no threshold and are kept; a document is trusted if all its labels are 1 and it has one; repeated rows
 are judged row by row, and count as often in training; a perplexity equal to the threshold is kept; empty tables give an
-empty result; further columns are ignored, whatever their names.
+empty result; a very long text is scored whole, in a piece of its own; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,18 +31,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import kept, scratch, settled, written
+from ..storage import kept, release, scratch, settled, written
 from .sizes import hinted
-from .words import chunks, mix, window_hashes
+from .words import chunks, mix, trim, window_hashes
 
 START = "\x02"
 #: Least discount: with few counts the estimates can reach 0, which would leave nothing for n-grams that were not seen.
 LEAST = 0.1
-#: Scored n-grams, of 16 bytes each, up to which they are sent to every executor; beyond it the join shuffles.
-SCORED_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -50,7 +49,7 @@ class Model:
     #: Quantile of the trusted documents' perplexities up to which a document is kept.
     quantile: float = 0.99
     #: Bytes of text in a block, the unit that asks for scores.
-    block: int = 24 << 20
+    block: int = 256 << 20
 
 
 def _symbols(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,9 +84,10 @@ def _distinct(points: np.ndarray, bounds: np.ndarray, order: int) -> tuple[np.nd
     return kinds, np.bincount(codes, minlength=len(kinds)), np.stack([points[first + k] for k in range(order)], axis=1)
 
 
-def _keys(h: np.ndarray, lang: str | None) -> np.ndarray:
-    """Hashes of n-grams as keys that differ by language."""
-    return mix(h, xxhash.xxh3_64_intdigest(repr(lang)))
+def _hashes_of(grams: pa.Array, order: int) -> np.ndarray:
+    """_gram_hashes of n-grams that stand for themselves."""
+    points = np.frombuffer("".join(grams.to_pylist()).encode("utf-32-le"), np.uint32)
+    return _gram_hashes(points, order)[::order]
 
 
 class Grams:
@@ -109,13 +109,13 @@ class Grams:
         first[codes[::-1]] = np.arange(len(h))[::-1]
         return kinds, np.bincount(codes, weights=n, minlength=len(kinds)).astype(np.int64), g[first]
 
-    def rows(self) -> Iterator[tuple[str | None, np.ndarray, pa.Array, np.ndarray]]:
+    def rows(self) -> Iterator[tuple[str | None, pa.Array, np.ndarray]]:
         for lang in self.parts:
-            h, n, g = self.joined(lang)
+            _, n, g = self.joined(lang)
             for begin in range(0, len(n), 50_000):
                 part = slice(begin, begin + 50_000)
                 text = g[part].astype("<u4").tobytes().decode("utf-32-le")
-                yield lang, _keys(h[part], lang), pa.array([text[k : k + self.order] for k in range(0, len(text), self.order)], pa.string()), n[part]
+                yield lang, pa.array([text[k : k + self.order] for k in range(0, len(text), self.order)], pa.string()), n[part]
 
 
 def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str | None, pa.RecordBatch]]:
@@ -132,44 +132,76 @@ def count_grams(docs: DataFrame, order: int) -> DataFrame:
         for batch in chunks(batches):
             for lang, part in _by_language(batch):
                 grams.add(lang, *_symbols([t or "" for t in part.column("text").to_pylist()], order))
-        for lang, _, gram, n in grams.rows():
+        for lang, gram, n in grams.rows():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), gram, pa.array(n)], names=["lang", "gram", "n"])
 
     return docs.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def train(counts: DataFrame, order: int) -> list[tuple[DataFrame, DataFrame]]:
-    """Of (lang, gram, n) of the highest order, by order from 1: (lang, gram, mass), the discounted share of the gram, and
-    (lang, context, back, kinds), the weight of the lower order and the number of letters that follow."""
+    """Of (lang, gram, n) of the highest order, by order from 1: (lang, gram, p), the probability of the gram's last letter after its
+    others, and (lang, context, back, kinds), the weight of the lower order and the number of letters that follow."""
     tables = []
     for k in range(order, 0, -1):
         if k < order:
             counts = counts.groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n"))
-        counts = settled(counts, "counts")
+        counts = written(counts, "counts")
+        tables.append(counts)
+    levels: list[tuple[DataFrame, DataFrame]] = []
+    for k, counts in enumerate(tables[::-1], 1):
         of = counts.groupBy("lang").agg(*[F.greatest(F.count_if(F.col("n") == i), F.lit(1)).alias(f"n{i}") for i in (1, 2, 3, 4)])
         y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
         less = [F.greatest(F.lit(LEAST), i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")).alias(f"d{i}") for i in (1, 2, 3)]
         cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        rows = counts.join(of.select("lang", *less), "lang").select("lang", "gram", F.expr(f"substring(gram, 1, {k - 1})").alias("context"), "n", F.least(cut, F.col("n")).alias("cut"))
-        totals = rows.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("cut").alias("given"), F.count("*").alias("kinds"))
-        mass = rows.join(totals, ["lang", "context"]).select("lang", "gram", ((F.col("n") - F.col("cut")) / F.col("total")).alias("mass"))
-        tables.append((mass, totals.select("lang", "context", (F.col("given") / F.col("total")).alias("back"), "kinds")))
-    return tables[::-1]
-
-
-def score_grams(asked: DataFrame, tables: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """``asked`` (distinct lang, gram, …) with logp: one join by n-gram and one by context for each order."""
-    order, names = len(tables), asked.columns
-    kinds = tables[0][1].select("lang", "kinds")
-    out = asked.join(kinds, "lang", "left").select(*names, (1 / (F.coalesce("kinds", F.lit(0)) + 1)).alias("p"))
-    for k, (mass, context) in enumerate(tables, 1):
-        part = out.withColumn("_g", F.expr(f"substring(gram, {order - k + 1})")).withColumn("_c", F.expr(f"substring(gram, {order - k + 1}, {k - 1})"))
-        part = part.join(mass.withColumnRenamed("gram", "_g"), ["lang", "_g"], "left").join(context.select("lang", F.col("context").alias("_c"), "back"), ["lang", "_c"], "left")
-        out = part.select(*names, (F.coalesce("mass", F.lit(0.0)) + F.coalesce("back", F.lit(1.0)) * F.col("p")).alias("p"))
+        rows = counts.join(hinted(written(of.select("lang", *less), "discounts")), "lang").select("lang", "gram", F.expr(f"substring(gram, 1, {k - 1})").alias("context"), "n", F.least(cut, F.col("n")).alias("cut"))
+        # A context is followed by at most as many letters as there are.
+        after = Window.partitionBy("lang", "context")
+        rows = rows.select("lang", "gram", "context", "n", "cut", F.sum("n").over(after).alias("total"), F.sum("cut").over(after).alias("given"), F.count("*").over(after).alias("kinds"))
+        rows = rows.select("lang", "gram", "context", ((F.col("n") - F.col("cut")) / F.col("total")).alias("mass"), (F.col("given") / F.col("total")).alias("back"), "kinds")
+        if levels:
+            lower = levels[-1][0].withColumnRenamed("gram", "_s").withColumnRenamed("p", "lower")
+            rows = rows.withColumn("_s", F.expr("substring(gram, 2)")).join(hinted(lower), ["lang", "_s"])
+        else:
+            rows = rows.withColumn("lower", 1 / (F.col("kinds") + 1))
+        rows = written(rows.select("lang", "gram", "context", "back", "kinds", (F.col("mass") + F.col("back") * F.col("lower")).alias("p")), "level")
+        contexts = written(rows.groupBy("lang", "context").agg(F.max("back").alias("back"), F.max("kinds").alias("kinds")), "contexts")
+        levels.append((rows.select("lang", "gram", "p"), contexts))
+    release(counts.sparkSession)
+    return levels
+
+
+def score_grams(asked: DataFrame, levels: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """``asked`` (distinct lang, gram, …) with logp. An n-gram that was seen has its probability; of the others, fewer with each order,
+    the back-off weights are multiplied until a shorter one was."""
+    order, names = len(levels), asked.columns
+    todo, done = asked.withColumn("weight", F.lit(1.0)), []
+    for k in range(order, 0, -1):
+        seen, contexts = levels[k - 1]
+        part = todo.withColumn("_g", F.expr(f"substring(gram, {order - k + 1})"))
+        part = written(part.join(hinted(seen.withColumnRenamed("gram", "_g")), ["lang", "_g"], "left").select(*names, "weight", "p"), "met")
+        done.append(part.where("p is not null").select(*names, (F.col("weight") * F.col("p")).alias("p")))
+        left = part.where("p is null").withColumn("_c", F.expr(f"substring(gram, {order - k + 1}, {k - 1})"))
+        left = left.join(hinted(contexts.withColumnRenamed("context", "_c")), ["lang", "_c"], "left")
+        todo = left.select(*names, (F.col("weight") * F.coalesce("back", F.lit(1.0))).alias("weight"), *["kinds"] * (k == 1))
+    out = todo.select(*names, (F.col("weight") / (F.coalesce("kinds", F.lit(0)) + 1)).alias("p"))
+    for part in done:
+        out = out.union(part)
     return out.select(*names, F.ln("p").alias("logp"))
 
 
-PACKED = "block long, piece int, key long, lang string, gram string, head binary, body binary"
+PACKED = "block long, piece int, tongue string, gram string, head binary, body binary"
+
+
+def _tongue(lang: str | None) -> str:
+    """A language's name that is never null."""
+    return "" if lang is None else "=" + lang
+
+
+def fixed(df: DataFrame) -> DataFrame:
+    """``df`` itself if every reading gives the same rows in the same order, a plain scan of files; else it is written first."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    plain = all(line.lstrip(" +-:").startswith(("Project", "Filter", "Relation")) for line in plan.splitlines() if line.strip())
+    return df if plain else settled(df, "fixed")
 
 
 def _packed(docs: DataFrame, model: Model, bodies: bool) -> DataFrame:
@@ -189,9 +221,9 @@ def _packed(docs: DataFrame, model: Model, bodies: bool) -> DataFrame:
             # Named by its content: both kinds of rows name a block alike, wherever and however often they are made.
             block = digest.intdigest() >> 1
             for k, (lang, head, body) in enumerate(pieces, 1):
-                yield rows(1, block=block, piece=k, lang=lang, head=head, body=body)
-            for lang, keys, gram, n in grams.rows():
-                yield rows(len(n), block=block, piece=0, key=pa.array(keys.view(np.int64)), lang=lang, gram=gram)
+                yield rows(1, block=block, piece=k, tongue=_tongue(lang), head=head, body=body)
+            for lang, gram, n in grams.rows():
+                yield rows(len(n), block=block, piece=0, tongue=_tongue(lang), gram=gram)
 
         digest, pieces, grams, size = xxhash.xxh3_64(), [], Grams(model.order), 0
         for batch in chunks(batches):
@@ -214,35 +246,43 @@ def _packed(docs: DataFrame, model: Model, bodies: bool) -> DataFrame:
     return docs.mapInArrow(run, PACKED)
 
 
-def perplexities(docs: DataFrame, tables: list[tuple[DataFrame, DataFrame]], model: Model) -> DataFrame:
+def perplexities(docs: DataFrame, levels: list[tuple[DataFrame, DataFrame]], model: Model) -> DataFrame:
     """(doc_id, lang, n_chars, log0, log1) of every row of ``docs`` (doc_id, lang, text): its log perplexity under each half's model."""
-    asked = settled(_packed(docs, model, bodies=False).select("block", "key", "lang", "gram"), "asked")
-    kinds = asked.groupBy("key").agg(F.first("lang").alias("own"), F.first("gram").alias("gram"))
-    both = kinds.select("key", "gram", F.explode(F.array(*[F.struct(F.lit(k).alias("half"), _named(F.lit(k), F.col("own")).alias("lang")) for k in (0, 1)])).alias("m")).select("key", "gram", "m.half", "m.lang")
-    logs = score_grams(written(both, "kinds"), tables)
-    scored = logs.groupBy("key").agg(*[F.max(F.when(F.col("half") == k, F.col("logp"))).cast("float").alias(f"log{k}") for k in (0, 1)])
-    answers = asked.select("block", "key").join(hinted(settled(scored, "scored"), SCORED_ROWS), "key")
+    asked = _packed(docs, model, bodies=False).select("block", "tongue", "gram")
+    kinds = settled(asked.groupBy("tongue", "gram").agg(F.collect_list("block").alias("blocks")), "asked")
+    halves = F.explode(F.array(F.lit("0"), F.lit("1"))).alias("half")
+    both = kinds.select("tongue", "gram", halves).select(F.concat("half", "tongue").alias("lang"), "gram", "tongue", "half")
+    logs = score_grams(both, levels)
+    scored = settled(logs.groupBy("tongue", "gram").agg(*[F.max(F.when(F.col("half") == k, F.col("logp"))).cast("float").alias(f"log{k}") for k in "01"]), "scored")
+    answers = kinds.join(hinted(scored), ["tongue", "gram"]).select(F.explode("blocks").alias("block"), "tongue", "gram", "log0", "log1")
     none = F.lit(None)
-    rows = answers.select("block", F.lit(0).alias("piece"), "key", none.cast("string").alias("lang"), none.cast("binary").alias("head"), none.cast("binary").alias("body"), "log0", "log1")
-    rows = rows.union(_packed(docs, model, bodies=True).select("block", "piece", "key", "lang", "head", "body", none.cast("float").alias("log0"), none.cast("float").alias("log1")))
+    rows = answers.select("block", F.lit(0).alias("piece"), "tongue", "gram", none.cast("binary").alias("head"), none.cast("binary").alias("body"), "log0", "log1")
+    rows = rows.union(_packed(docs, model, bodies=True).select("*", none.cast("float"), none.cast("float")))
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held, index, values = None, [], None, None
+        block, held, index, values = None, [], {}, {}
         press = zstandard.ZstdDecompressor()
         for batch in batches:
             begin = np.flatnonzero(np.diff(batch.column("block").to_numpy(), prepend=-1))
             for a, b in zip(begin.tolist(), [*begin[1:].tolist(), batch.num_rows]):
                 part = batch.slice(a, b - a)
                 if (k := part.column("block")[0].as_py()) != block:
-                    block, held, index = k, [], None
-                told = part.column("key").is_valid()
-                own = part.filter(told)
-                held.append([own.column(c).to_numpy(zero_copy_only=False) for c in ("key", "log0", "log1")])
-                for lang, head, body in zip(*(part.filter(pc.invert(told)).column(c).to_pylist() for c in ("lang", "head", "body"))):
-                    if index is None:
-                        keys, *both = (np.concatenate(x) for x in zip(*held))
+                    block, held, index, values = k, [], {}, {}
+                told = part.column("gram").is_valid()
+                if (own := part.filter(told)).num_rows:
+                    names = own.column("tongue").dictionary_encode()
+                    grams, logs = own.column("gram"), np.stack([own.column(c).to_numpy(zero_copy_only=False) for c in ("log0", "log1")], axis=1)
+                    hashes = _hashes_of(grams, model.order)
+                    for code, name in enumerate(names.dictionary.to_pylist()):
+                        at = names.indices.to_numpy() == code
+                        held.append((name, hashes[at], logs[at]))
+                for name, head, body in zip(*(part.filter(pc.invert(told)).column(c).to_pylist() for c in ("tongue", "head", "body"))):
+                    if name not in index:
+                        mine = [x for x in held if x[0] == name]
+                        keys = np.concatenate([x[1] for x in mine]) if mine else np.zeros(0, np.uint64)
                         keys, first = np.unique(keys, return_index=True)
-                        index, values, held = pd.Index(keys), np.stack(both, axis=1)[first].astype(np.float64), []
+                        index[name], values[name] = pd.Index(keys), (np.concatenate([x[2] for x in mine]) if mine else np.zeros((0, 2)))[first].astype(np.float64)
+                        held = [x for x in held if x[0] != name]
                     ids, null, size = np.frombuffer(head, np.int64).reshape(3, -1)
                     text = press.decompress(body).decode()
                     cut = np.concatenate([[0], np.cumsum(size)]).tolist()
@@ -252,12 +292,14 @@ def perplexities(docs: DataFrame, tables: list[tuple[DataFrame, DataFrame]], mod
                     if len(some):
                         h = _gram_hashes(points, model.order)
                         inside = _inside(bounds, len(h), model.order)
-                        at = index.get_indexer(_keys(h[inside], lang).view(np.int64))
+                        at = index[name].get_indexer(h[inside])
                         if (at < 0).any():
-                            raise RuntimeError("a block's n-grams differ between two readings of its documents: write them to a table first")
-                        logs[some] = np.add.reduceat(values[at], np.concatenate([[0], np.cumsum(size[some])[:-1]]), axis=0)
+                            raise RuntimeError("a block's n-grams differ between two readings of its documents")
+                        logs[some] = np.add.reduceat(values[name][at], np.concatenate([[0], np.cumsum(size[some])[:-1]]), axis=0)
                     logs = -logs / np.maximum(size, 1)[:, None]
+                    lang = name[1:] if name else None
                     yield pa.RecordBatch.from_arrays([pa.array(ids, mask=null.astype(bool)), pa.array([lang] * len(ids), pa.string()), pa.array(size), pa.array(logs[:, 0].copy()), pa.array(logs[:, 1].copy())], names=["doc_id", "lang", "n_chars", "log0", "log1"])
+        trim()
 
     placed = rows.repartition("block").sortWithinPartitions("block", "piece")
     return placed.mapInArrow(add_up, "doc_id long, lang string, n_chars long, log0 double, log1 double")
@@ -277,12 +319,13 @@ def judge(docs: DataFrame, labels: DataFrame, model: Model = Model(), id_col: st
 
 
 def _judged(slim: DataFrame, good: DataFrame, model: Model) -> DataFrame:
+    slim = fixed(slim)
     good = written(good.withColumn("half", F.expr("cast(pmod(xxhash64(doc_id), 2) as int)")), "trusted")
     trusted = slim.where("text is not null").join(hinted(good), "doc_id")
     counts = count_grams(trusted.select(_named(F.col("half"), F.col("lang")).alias("lang"), "text"), model.order)
-    tables = train(counts, model.order)
-    models = written(tables[0][1].select("lang"), "models")
-    logs = perplexities(slim, tables, model).join(hinted(good), "doc_id", "left")
+    levels = train(counts, model.order)
+    models = written(levels[0][1].select("lang"), "models")
+    logs = perplexities(slim, levels, model).join(hinted(good), "doc_id", "left")
     for k in (0, 1):
         logs = logs.join(F.broadcast(models.select(F.col("lang").alias(f"of{k}"))), _named(F.lit(k), F.col("lang")) == F.col(f"of{k}"), "left")
     log0, log1 = (F.when(F.col(f"of{k}").isNotNull(), F.col(f"log{k}")) for k in (0, 1))
