@@ -16,9 +16,9 @@ def brute(rows, items, how):
         for w in ws:
             counts[w] = counts.get(w, 0) + 1
     out = {}
-    for item, text in dict(items).items():
+    for item, text in items:
         terms = words_of(text)
-        if item is None or len(terms) < how.least:
+        if len(terms) < how.least:
             continue
         n, m = len(terms), min(len(terms), how.phrase)
         rank = sorted(range(n), key=lambda o: (counts.get(terms[o], 0), o))
@@ -26,7 +26,7 @@ def brute(rows, items, how):
         for i, ws in docs.items():
             at = [p for k in range(n - m + 1) for p in range(len(ws) - m + 1) if ws[p : p + m] == terms[k : k + m]]
             if at:
-                out[i, item] = ("phrase", min(at))
+                out[i, item] = min(("phrase", min(at)), out.get((i, item), ("z", 0)))
                 continue
             near = []
             for o in rank[: n - need + 1]:
@@ -37,7 +37,7 @@ def brute(rows, items, how):
                         if hits >= need:
                             near.append(max(0, a))
             if near:
-                out[i, item] = ("proximity", min(near))
+                out[i, item] = min(("proximity", min(near)), out.get((i, item), ("z", 0)))
     return out
 
 
@@ -45,8 +45,9 @@ def brute(rows, items, how):
 def test_matches(spark, how):
     rng = random.Random(9)
     items = [(k, " ".join(invented(rng, n))) for k, n in enumerate([3, 6, 13, 20, 40])] + [(7, None), (8, ""), (None, "a b c d e f g"), (2, None)]
-    items = [x for x in items if x != (2, None)]
+    items += [(3, items[1][1]), (3, "another text under one id"), (900, "lonely"), (None, items[2][1])]
     rows = corpus(10, 25)
+    rows += [(790, "a lonely word"), (791, "another text under one id")]
     for k, (item, text) in enumerate(items[:5]):
         w = words_of(text)
         rows.append((700 + k, "lead in " + text.upper() + ", and more"))
@@ -64,7 +65,7 @@ def test_filter_and_empty_tables(spark):
     docs = with_extras(spark.createDataFrame([(1, "one two three four five six"), (2, "clean words here"), (None, "one two three four five six"), (3, None)], SCHEMA))
     bench = spark.createDataFrame([(1, "Two three, four five six")], "item_id long, text string")
     left = d.without_contaminated(docs, bench)
-    assert left.columns == docs.columns and sorted((r["doc_id"] for r in left.collect()), key=str) == [2, 3, None]
+    assert left.columns == docs.columns and sorted((r["doc_id"] for r in left.collect()), key=str) == [2, 3]
     assert d.contamination(docs.limit(0), bench).count() == 0 and d.contamination(docs, bench.limit(0)).count() == 0
 
 

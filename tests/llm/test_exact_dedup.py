@@ -52,3 +52,16 @@ def test_state_goes_on_after_a_restart(spark, tmp_path):
             assert [(r["doc_id"], r["n"]) for r in found] == [[], [(3, 2)], [(3, 3)]][k]
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_joined_united_and_clashing_inputs(spark, tmp_path):
+    rows = [(1, "a"), (2, "a"), (3, "b"), (None, "b"), (5, None), (1, "a")] + [(100 + k, "one text in most rows") for k in range(200)] + [(7, "long " * 200_000), (8, "long " * 200_000)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    want = brute(rows)
+    one = docs.join(spark.range(1).withColumnRenamed("id", "_other"), F.lit(True))
+    for df in (docs, one, docs.withColumn("_metadata", F.lit("own")), docs.repartition(3)):
+        assert sorted((tuple(r) for r in e.copies(df).collect()), key=str) == want
+        assert e.without_copies(df).count() == len(rows) - len(want)
+    twice = docs.union(docs)
+    assert sorted((tuple(r) for r in e.copies(twice).collect()), key=str) == brute(rows + rows)

@@ -50,3 +50,14 @@ def test_reports(spark):
     assert got[1] == [("MIT", n, 3, 3 + n)] and got[2][0][1] == n - 3 or got[2][0][1] >= n - 4
     assert c.scan(docs.limit(0)).count() == 0
     assert c.scan(docs, {}).count() == 0 and c.scan(docs, {"none": ""}).count() == 0
+
+
+def test_copies_with_inserted_words(spark):
+    name = max(c.TEMPLATES, key=lambda n: len(words_of(c.TEMPLATES[n])))
+    text = c.TEMPLATES[name].split()
+    half = len(text) // 2
+    rows = [(k, " ".join(text[:half] + ["inserted"] * k + text[half:])) for k in (0, 8, 9, 20, 39)]
+    got = {r["doc_id"]: r for r in c.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["license"] == name}
+    assert set(got) == {k for k, _ in rows} and all(r["coverage"] == 1.0 for r in got.values())
+    for k, x in rows:
+        assert (name, got[k]["matched_words"], got[k]["begin_word"], got[k]["end_word"]) in brute(x)

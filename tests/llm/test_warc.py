@@ -47,3 +47,20 @@ def test_pages(spark):
     out = w.assemble(w.from_pages(pages)).orderBy("capture_id")
     assert [(r["n_records"], r["request"] is not None, len(r["metadata"])) for r in out.collect()] == [(3, True, 1)] * 2
     assert out.select(F.decode("response.payload", "UTF-8")).first()[0].endswith("<p>")
+
+
+def test_lengths_that_are_no_numbers():
+    assert [x[2] for x in w.parse(b"WARC/1.1\r\nContent-Length: \xc2\xb2\r\n\r\nxx")] == [b""]
+
+
+def test_contents_move_once_at_any_size(spark, monkeypatch):
+    """Without any broadcast the captures are the same, and payloads of ordinary captures are shuffled once."""
+    from worldfold.llm import sizes
+
+    pages = spark.createDataFrame([(k, f"http://x/{k}", "<p>" * k) for k in range(40)], "page_id long, url string, html string")
+    one = sorted(map(str, w.assemble(w.from_pages(pages)).collect()))
+    monkeypatch.setattr(w, "hinted", lambda keys, most=0: keys.hint("merge"))
+    out = w.assemble(w.from_pages(pages))
+    assert sorted(map(str, out.collect())) == one and len(one) == 40
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list") == 1

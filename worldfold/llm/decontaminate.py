@@ -11,9 +11,10 @@ tokens first. A proximity match places the item so that at least ``share`` of it
 of their places, in one document; the placements tried are those of its rarest words, of which any such match must
 hold one, each exactly at its place.
 
-Defined cases: null and empty texts hold nothing; items of under ``least`` words match nothing, as such runs occur by
-chance; null ids are kept out; repeated rows give one result for each doc_id and item; terms of equal rarity are taken in
-item order; empty tables give an empty result; further columns are ignored or passed through, whatever their names.
+Defined cases: null and empty texts hold nothing; items of under ``least`` words (1: of any length) match nothing, a text in a script without
+spaces is one word; several items under one item_id, or none, each count, and give one result for each doc_id and item_id, the best of theirs;
+documents without id have no result, and the filter tells them by their texts; terms of equal rarity are taken in
+item order; very long texts are a block of their own; empty tables give an empty result; further columns are ignored or passed through, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ class Matching:
     phrase: int = 13
     slop: int = 3
     share: float = 0.8
-    least: int = 5
+    least: int = 1
     #: Words of test items that are sent to the executors at once; a larger benchmark is taken in several rounds.
     round_words: int = 500_000
 
@@ -165,8 +166,10 @@ def _has(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
 def match(index: DataFrame, bench: DataFrame, how: Matching = Matching(), id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """Every match of a test item in an indexed document: doc_id, item_id, kind (phrase before proximity), first_word."""
     spark = index.sparkSession
-    names = plain(bench, id_col, text_col).where("doc_id is not null and text is not null")
-    items = written(_items(names, how).dropDuplicates(["item_id"]), "items")
+    names = plain(bench, id_col, text_col).where("text is not null")
+    # Items are told apart by a key of their own: several texts may have one id, or none.
+    keyed = written(_items(names, how).dropDuplicates(["item_id", "terms"]).withColumn("key", F.monotonically_increasing_id()), "items")
+    items = keyed.select(F.col("key").alias("item_id"), "terms")
     terms = written(items.select(F.explode("terms").alias("term")).groupBy("term").count(), "terms")
     lists = written(index.where("term is not null").join(hinted(terms.select("term")), "term", "left_semi").select("block", "term", "n", "postings"), "lists")
     counts = lists.groupBy("term").agg(F.sum("n").alias("n"))
@@ -183,7 +186,8 @@ def match(index: DataFrame, bench: DataFrame, how: Matching = Matching(), id_col
     if out is None:
         return spark.createDataFrame([], "doc_id long, item_id long, kind string, first_word long")
     best = F.min(F.struct("kind", "first_word")).alias("best")
-    return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.kind", "best.first_word")
+    named = out.withColumnRenamed("item_id", "key").join(hinted(written(keyed.select("key", "item_id"), "keys")), "key")
+    return named.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.kind", "best.first_word")
 
 
 def _rounds(items: DataFrame, how: Matching) -> Iterator[list[tuple[int, list[int], list[int]]]]:
@@ -202,13 +206,18 @@ def _matcher(sent, how: Matching):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = [Item(*x, how) for x in sent.value]
         wanted = {t for x in items for t in x.terms}
+        # A phrase has its rarest term, a proximity match one of the item's seeds: the others can't match in a block.
+        led: dict[int, set[int]] = {}
+        for i, x in enumerate(items):
+            for o in {*x.seeds, *(order[0] for _, _, order in x.windows)}:
+                led.setdefault(x.terms[o], set()).add(i)
         head, lists = None, {}
 
         def answer() -> Iterator[pa.RecordBatch]:
             if head is None or not lists:
                 return
             ids, starts = head
-            out = [(int(ids[d]), x.id, *best) for x in items for d, best in x.matches(lists, starts, how).items()]
+            out = [(int(ids[d]), items[i].id, *best) for i in sorted(set().union(*(led.get(t, ()) for t in lists))) for d, best in items[i].matches(lists, starts, how).items()]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.int64()))], names=["doc_id", "item_id", "kind", "first_word"])
 
@@ -234,6 +243,12 @@ def contamination(docs: DataFrame, bench: DataFrame, how: Matching = Matching(),
 
 
 def without_contaminated(docs: DataFrame, bench: DataFrame, how: Matching = Matching(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """The rows of ``docs`` in which no item of ``bench`` was found; all columns as they are."""
+    """The rows of ``docs`` in which no item of ``bench`` was found; all columns as they are. Rows without id are told by their texts."""
     found = written(contamination(docs, bench, how, id_col, text_col, item_col).select(F.col("doc_id").alias("_found")).distinct(), "found")
-    return docs.join(hinted(found), docs[id_col] == found["_found"], "left_anti")
+    left = docs.join(hinted(found), docs[id_col] == found["_found"], "left_anti")
+    if not docs.where(docs[id_col].isNull()).limit(1).count():
+        return left
+    texts = written(docs.where(docs[id_col].isNull() & docs[text_col].isNotNull()).select(F.col(text_col).alias("_text")).distinct().withColumn("_key", F.monotonically_increasing_id()), "unnamed")
+    dirty = texts.join(contamination(texts, bench.withColumnRenamed(text_col, "_text"), how, "_key", "_text", item_col).select(F.col("doc_id").alias("_key")).distinct(), "_key")
+    bad = written(dirty.select("_text"), "dirty")
+    return left.join(bad, left[id_col].isNull() & (left[text_col] == bad["_text"]), "left_anti")

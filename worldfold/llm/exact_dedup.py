@@ -15,11 +15,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..storage import kept, new_path, scratch
+from ..storage import kept, new_path, scratch, written
 from .sizes import hinted
 
 #: Digests that one partition of the state is meant for; each is a store of its own on disk.
@@ -33,7 +34,11 @@ def sha256(text: Column) -> Column:
 
 def arrivals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """What the stream is fed: digest, stable identifier and content locator of every row with a text."""
-    filed = not docs.isStreaming and "_metadata" not in docs.columns and bool(docs.inputFiles()) or docs.isStreaming
+    try:  # rows of joins and unions, of other formats or of memory have no place in a file
+        docs.select("_metadata.file_path", "_metadata.row_index")
+        filed = "_metadata" not in docs.columns
+    except AnalysisException:
+        filed = False
     where = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")) if filed else F.lit(None).cast("struct<file:string,row:bigint>")
     return docs.where(docs[text_col].isNotNull()).select(digest(docs[text_col].cast("string")).alias("digest"), docs[id_col].cast("long").alias("doc_id"), where.alias("locator"))
 
@@ -85,20 +90,33 @@ def read_hits(spark: SparkSession, path: str, slim: DataFrame) -> DataFrame:
     return spark.read.schema(kind).parquet(path).select("digest").distinct()
 
 
-def _ranked(docs: DataFrame, hits: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
-    """The rows whose digest was hit, in a struct ``_row``, with their rank among equal bytes, the one that stays, and the copies."""
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), digest(docs[text_col].cast("string")).alias("_digest"))
-    same = Window.partitionBy("_digest", F.col("_row")[text_col])
-    order = same.orderBy(F.col("_row")[id_col].asc_nulls_last())
-    hit = keyed.join(hinted(hits.withColumnRenamed("digest", "_digest")), "_digest", "left_semi")
-    return hit.select("_row", F.row_number().over(order).alias("_rank"), F.first(F.col("_row")[id_col]).over(order).alias("_keep"), F.count("*").over(same).alias("_n"))
+def _hit(docs: DataFrame, hits: DataFrame, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
+    """The rows of ``docs`` whose digest was hit, in a struct ``_row``, with their text and digest."""
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), docs[text_col].cast("string").alias("_text")).withColumn("_digest", digest(F.col("_text")))
+    return keyed.join(hinted(hits.withColumnRenamed("digest", "_digest")), "_digest", "left_semi")
 
 
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """Every row that exact deduplication drops: doc_id, keep_id (the one that stays for it), n_copies (of that text)."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ranked = _ranked(slim, hit_digests(docs, id_col, text_col, digest), "doc_id", "text", digest)
-    return ranked.where("_rank > 1").select("_row.doc_id", F.col("_keep").alias("keep_id"), F.col("_n").alias("n_copies"))
+    hits = hit_digests(docs, id_col, text_col, digest)
+    with scratch(docs.sparkSession):
+        return kept(_copies(_hit(slim, hits, "text", digest)), "copies")
+
+
+def _copies(hit: DataFrame) -> DataFrame:
+    # Equal texts are put together before they are shuffled: a text in a third of all rows travels once for each task.
+    groups = hit.groupBy("_digest", "_text").agg(F.min("_row.doc_id").alias("keep"), F.count("*").alias("n"))
+    per = written(groups.groupBy("_digest").agg(F.count("*").alias("texts"), F.min("keep").alias("keep_id"), F.min("n").alias("n_copies")), "groups")
+    ids = hit.groupBy("_digest", F.col("_row.doc_id").alias("doc_id")).agg(F.count("*").alias("c")).join(hinted(per.where("texts = 1")), "_digest")
+    spare = ids.withColumn("c", F.col("c") - F.col("doc_id").eqNullSafe(F.col("keep_id")).cast("long")).where("c > 0")
+    out = spare.select("doc_id", "keep_id", "n_copies", F.explode(F.expr("sequence(1, c)"))).select("doc_id", "keep_id", "n_copies")
+    # Different texts of one digest are ranked by their whole bytes.
+    mixed = written(per.where("texts > 1").select("_digest"), "mixed")
+    same = Window.partitionBy("_digest", "_text")
+    order = same.orderBy(F.col("_row.doc_id").asc_nulls_last())
+    ranked = hit.join(hinted(mixed), "_digest", "left_semi").select(F.col("_row.doc_id").alias("doc_id"), F.first("_row.doc_id").over(order).alias("keep_id"), F.count("*").over(same).alias("n_copies"), F.row_number().over(order).alias("rank"))
+    return out.union(ranked.where("rank > 1").select("doc_id", "keep_id", "n_copies"))
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
@@ -106,5 +124,5 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hits = hit_digests(docs, id_col, text_col, digest)
     named = digest(docs[text_col].cast("string"))
     alone = docs.join(hinted(hits), named == hits["digest"], "left_anti")
-    first = _ranked(docs, hits, id_col, text_col, digest).where("_rank = 1").select("_row.*")
-    return alone.unionAll(first)
+    first = F.min_by("_row", F.struct(F.col("_row")[id_col].isNull(), F.col("_row")[id_col])).alias("_row")
+    return alone.unionAll(_hit(docs, hits, text_col, digest).groupBy("_digest", "_text").agg(first).select("_row.*"))

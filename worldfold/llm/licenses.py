@@ -72,6 +72,8 @@ class Scan:
     gram: int = 3
     window: int = 4
     band: int = 8
+    #: Words that a copy may have between two of its parts, at most (and no more than the template): they are aligned as one.
+    reach: int = 40
     coverage: float = 0.8
 
 
@@ -152,8 +154,9 @@ class Library:
         for (row, t), diagonals in found.items():
             own = h[offsets[row] : offsets[row + 1]]
             group: list[int] = []
+            reach = max(self.how.band, min(self.how.reach, len(self.terms[t])))
             for d in [*sorted(set(diagonals)), None]:
-                if group and (d is None or d - group[-1] > self.how.band or d - group[0] > 4 * self.how.band):
+                if group and (d is None or d - group[-1] > reach or d - group[0] > 4 * reach):
                     low, high = group[0] - self.how.band, group[-1] + self.how.band
                     yield from ((row, t, *found_) for found_ in self._places(own, t, low, high, max(0, low), min(len(own), high + len(self.terms[t]))))
                     group = []

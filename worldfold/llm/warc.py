@@ -51,7 +51,7 @@ def parse(data: bytes) -> Iterator[tuple[int, list[tuple[str, str]], bytes]]:
             elif ":" in line:
                 name, value = line.split(":", 1)
                 fields.append((name.strip().lower(), value.strip()))
-        size = next((int(v) for k, v in fields if k == "content-length" and v.isdigit()), 0)
+        size = next((int(v) for k, v in fields if k == "content-length" and v.isascii() and v.isdigit()), 0)
         yield head.start(), fields, data[end + gap : end + gap + size]
         at = end + gap + size
 
@@ -124,24 +124,40 @@ def captures(records: DataFrame) -> DataFrame:
 
 
 def assemble(records: DataFrame) -> DataFrame:
-    """One row per capture: capture_id, target_uri, date, response, request, metadata (all, by id), n_records."""
+    """One row per capture: capture_id, target_uri, date, response, request, metadata (all, by id), n_records.
+
+    A record's content goes to the identifier that it names first, or to its own if it names none: records that meet there are of
+    one capture, and most captures are whole there. Only those of several such places are moved once more.
+    """
     fields = ["record_id", "type", "target_uri", "date", "headers", "payload"]
     slim = records.where("record_id is not null").select(*fields, "concurrent_to", "file", "offset")
-    first = F.min_by(F.struct(*fields), F.struct(F.coalesce("file", F.lit("")), F.coalesce("offset", F.lit(-1)), F.coalesce("payload", F.lit(b"")), F.coalesce("type", F.lit("")), F.coalesce("target_uri", F.lit("")), F.coalesce("date", F.lit("")))).alias("r")
+    place = F.coalesce(F.get(F.filter("concurrent_to", lambda x: x.isNotNull()), 0), "record_id")
+    order = F.struct(F.coalesce("file", F.lit("")), F.coalesce("offset", F.lit(-1)), F.coalesce("payload", F.lit(b"")), F.coalesce("type", F.lit("")), F.coalesce("target_uri", F.lit("")), F.coalesce("date", F.lit("")))
     with scratch(records.sparkSession):
-        of_capture = kept(captures(slim), "captures")
         repeated = kept(slim.groupBy("record_id").count().where("count > 1").select("record_id"), "repeated")
-    # Contents go straight to their capture; only records that stand twice meet before.
-    alone = slim.join(hinted(repeated), "record_id", "left_anti").select("record_id", F.struct(*fields).alias("r"))
-    one = alone.union(slim.join(hinted(repeated), "record_id", "left_semi").groupBy("record_id").agg(first).select("record_id", "r"))
-    placed = one.join(hinted(of_capture), "record_id")
-
-    def of(kinds: tuple[str, ...]) -> Column:
-        return F.min_by("r", F.when(F.col("r.type").isin(*kinds), F.col("record_id")))
-
-    metadata = F.array_sort(F.collect_list(F.when(F.col("r.type") == "metadata", F.struct("record_id", F.col("r.headers").alias("headers"), F.col("r.payload").alias("payload")))), lambda x, y: F.when(x["record_id"] < y["record_id"], -1).when(x["record_id"] > y["record_id"], 1).otherwise(0)).alias("metadata")
-    only = lambda kinds, name: F.when(F.count_if(F.col("r.type").isin(*kinds)) > 0, of(kinds)).alias(name)
-    out = placed.groupBy("capture_id").agg(only(MAIN, "response"), only(("request",), "request"), metadata, F.count("*").alias("n_records"), F.min("r.target_uri").alias("uri"), F.min("r.date").alias("first_date"))
+        of_capture = written(captures(slim), "captures")
+        # A repeated record is placed by its own identifier.
+        places = slim.join(hinted(repeated), "record_id", "left_anti").select("record_id", place.alias("place")).union(repeated.select("record_id", "record_id"))
+        met = written(places.join(hinted(of_capture), "record_id").select("place", "capture_id").distinct(), "met")
+        several = written(met.groupBy("capture_id").count().where("count > 1").select("capture_id", F.lit(True).alias("several")), "several")
+        met = kept(met.join(hinted(several), "capture_id", "left").select("place", "capture_id", F.coalesce("several", F.lit(False)).alias("several")), "places")
+    alone = slim.join(hinted(repeated), "record_id", "left_anti").select(place.alias("place"), F.struct(*fields).alias("r"))
+    one = alone.union(slim.join(hinted(repeated), "record_id", "left_semi").groupBy("record_id").agg(F.min_by(F.struct(*fields), order).alias("r")).select("record_id", "r"))
+    pieces = one.groupBy("place").agg(F.collect_list("r").alias("rs")).join(met.hint("merge"), "place")
+    out = pieces.where("not several").select("capture_id", "rs")
+    if met.where("several").limit(1).count():
+        out = out.union(pieces.where("several").groupBy("capture_id").agg(F.flatten(F.collect_list("rs")).alias("rs")))
+
+    def by_id(x: Column, y: Column) -> Column:
+        return F.when(x["record_id"] < y["record_id"], -1).when(x["record_id"] > y["record_id"], 1).otherwise(0)
+
+    def first(*kinds: str) -> Column:
+        return F.get(F.filter("rs", lambda r: r["type"].isin(*kinds)), 0)
+
+    out = out.select("capture_id", F.array_sort("rs", by_id).alias("rs"))
+    metadata = F.transform(F.filter("rs", lambda r: r["type"] == "metadata"), lambda r: F.struct(r["record_id"].alias("record_id"), r["headers"].alias("headers"), r["payload"].alias("payload")))
+    least = lambda name: F.array_min(F.transform("rs", lambda r: r[name]))
+    out = out.select("capture_id", first(*MAIN).alias("response"), first("request").alias("request"), metadata.alias("metadata"), F.size("rs").cast("long").alias("n_records"), least("target_uri").alias("uri"), least("date").alias("first_date"))
     return out.select("capture_id", F.coalesce("response.target_uri", "uri").alias("target_uri"), F.coalesce("response.date", "first_date").alias("date"), "response", "request", "metadata", "n_records")
 
 
