@@ -246,14 +246,20 @@ def _packed(docs: DataFrame, model: Model, bodies: bool) -> DataFrame:
     return docs.mapInArrow(run, PACKED)
 
 
-def perplexities(docs: DataFrame, levels: list[tuple[DataFrame, DataFrame]], model: Model) -> DataFrame:
-    """(doc_id, lang, n_chars, log0, log1) of every row of ``docs`` (doc_id, lang, text): its log perplexity under each half's model."""
-    asked = _packed(docs, model, bodies=False).select("block", "tongue", "gram")
-    kinds = settled(asked.groupBy("tongue", "gram").agg(F.collect_list("block").alias("blocks")), "asked")
-    halves = F.explode(F.array(F.lit("0"), F.lit("1"))).alias("half")
-    both = kinds.select("tongue", "gram", halves).select(F.concat("half", "tongue").alias("lang"), "gram", "tongue", "half")
-    logs = score_grams(both, levels)
-    scored = settled(logs.groupBy("tongue", "gram").agg(*[F.max(F.when(F.col("half") == k, F.col("logp"))).cast("float").alias(f"log{k}") for k in "01"]), "scored")
+def perplexities(docs: DataFrame, trusted: DataFrame, model: Model) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, lang, n_chars, log0, log1) of every row of ``docs`` (doc_id, lang, text), its log perplexity under each half's model that is
+    trained on ``trusted`` (lang, text); and the models' names (lang)."""
+    with scratch(docs.sparkSession):  # the tables of training are gone before texts are moved
+        levels = train(count_grams(trusted, model.order), model.order)
+        models = kept(levels[0][1].select("lang"), "models")
+        asked = _packed(docs, model, bodies=False).select("block", "tongue", "gram")
+        kinds = kept(asked.groupBy("tongue", "gram").agg(F.collect_list("block").alias("blocks")), "asked")
+        halves = F.explode(F.array(F.lit("0"), F.lit("1"))).alias("half")
+        both = kinds.select("tongue", "gram", halves).select(F.concat("half", "tongue").alias("lang"), "gram", "tongue", "half")
+        logs = score_grams(both, levels)
+        scored = kept(logs.groupBy("tongue", "gram").agg(*[F.max(F.when(F.col("half") == k, F.col("logp"))).cast("float").alias(f"log{k}") for k in "01"]), "scored")
+        del levels, logs, both, asked
+    release(docs.sparkSession)
     answers = kinds.join(hinted(scored), ["tongue", "gram"]).select(F.explode("blocks").alias("block"), "tongue", "gram", "log0", "log1")
     none = F.lit(None)
     rows = answers.select("block", F.lit(0).alias("piece"), "tongue", "gram", none.cast("binary").alias("head"), none.cast("binary").alias("body"), "log0", "log1")
@@ -302,7 +308,7 @@ def perplexities(docs: DataFrame, levels: list[tuple[DataFrame, DataFrame]], mod
         trim()
 
     placed = rows.repartition("block").sortWithinPartitions("block", "piece")
-    return placed.mapInArrow(add_up, "doc_id long, lang string, n_chars long, log0 double, log1 double")
+    return placed.mapInArrow(add_up, "doc_id long, lang string, n_chars long, log0 double, log1 double"), models
 
 
 def _named(half: Column, lang: Column) -> Column:
@@ -322,10 +328,8 @@ def _judged(slim: DataFrame, good: DataFrame, model: Model) -> DataFrame:
     slim = fixed(slim)
     good = written(good.withColumn("half", F.expr("cast(pmod(xxhash64(doc_id), 2) as int)")), "trusted")
     trusted = slim.where("text is not null").join(hinted(good), "doc_id")
-    counts = count_grams(trusted.select(_named(F.col("half"), F.col("lang")).alias("lang"), "text"), model.order)
-    levels = train(counts, model.order)
-    models = written(levels[0][1].select("lang"), "models")
-    logs = perplexities(slim, levels, model).join(hinted(good), "doc_id", "left")
+    logs, models = perplexities(slim, trusted.select(_named(F.col("half"), F.col("lang")).alias("lang"), "text"), model)
+    logs = logs.join(hinted(good), "doc_id", "left")
     for k in (0, 1):
         logs = logs.join(F.broadcast(models.select(F.col("lang").alias(f"of{k}"))), _named(F.lit(k), F.col("lang")) == F.col(f"of{k}"), "left")
     log0, log1 = (F.when(F.col(f"of{k}").isNotNull(), F.col(f"log{k}")) for k in (0, 1))
