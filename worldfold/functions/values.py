@@ -70,6 +70,23 @@ def exact_sum(column: Column) -> Column:
     return run(column)
 
 
+def exact_div(a: Column, b: Column) -> Column:
+    """Quotient of decimal texts with 50 digits, half to even; null for null and for division by zero."""
+
+    @F.pandas_udf("string")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None or not Decimal(q) else str(EXACT.divide(Decimal(p), Decimal(q))) for p, q in zip(x, y)], dtype=object)
+
+    return run(a, b)
+
+
+def unmixed(value: Column, column: Column) -> Column:
+    """An aggregate ``column`` of a group, or an error if its values mix exact decimals with inexact numbers, which have no common sum."""
+    exact = F.coalesce(value.startswith('{"$decimal"'), F.lit(False))
+    loose = F.coalesce(value.rlike(r"^-?[0-9]+(\.[0-9]+|\.?[0-9]*[eE][-+]?[0-9]+)$"), F.lit(False)) & value.rlike("[.eE]")
+    return F.when(F.bool_or(exact) & F.bool_or(loose), F.raise_error(F.lit("exact decimals and floats in one sum"))).otherwise(column)
+
+
 def content_tokens(text: Column) -> Column:
     """Words of a name that tell something: lower case, without possessives, articles, titles and single letters."""
     clean = F.regexp_replace(F.regexp_replace(F.lower(text), "['’]s\\b", ""), "[^\\p{L}\\p{N}]+", " ")

@@ -127,3 +127,26 @@ def merge_candidates(s: Snapshot, canon: DataFrame, frame: str = "canon") -> Dat
         .when(F.size(content_tokens(F.col("anchor"))) < 2, "alias_not_specific").when(~both, "kind_absent")
     )
     return out.select("a", "b", "anchor", decline.alias("decline"))
+
+
+def facet_map(s: Snapshot) -> DataFrame:
+    """(id, canon): as canon_map(), but facets that aka joins at the snapshot stand together as well; for folds over all of one's facets."""
+    pairs = edges(Snapshot(s.log), "same_as").union(edges(s, "aka"))
+    roots = components(pairs)
+    seen = first_seen(s).join(roots, "id")
+    canon = seen.groupBy("root").agg(F.min_by("id", F.struct("first", "id")).alias("canon"))
+    return written(roots.join(canon, "root").select("id", "canon"), "facets")
+
+
+def proposed(s: Snapshot, canon: DataFrame) -> DataFrame:
+    """(a, b): canonical entities that somebody took for one, and that nobody has merged or told apart since."""
+    pair = lambda attribute: resolved(resolved(edges(Snapshot(s.log), attribute), canon, "a", "x"), canon, "b", "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct()
+    return pair("maybe_same_as").exceptAll(pair("maybe_same_as").intersect(pair("distinct_from")))
+
+
+def relations(s: Snapshot, canon: DataFrame, frame: str = "canon") -> DataFrame:
+    """(entity, attribute, other, outgoing): every entity's neighbours by what is said of it and what is said of others about it."""
+    rows = visible(s, (F.col("frame") == frame) & (F.col("value_type") == "entity") & is_domain() & ~F.col("attribute").isin(*META)).select("entity", "attribute", text_of(F.col("value")).alias("other"))
+    rows = resolved(resolved(rows, canon, "entity", "x"), canon, "other", "y").where("x <> y")
+    both = F.explode(F.array(F.struct(F.col("x").alias("entity"), F.col("y").alias("other"), F.lit(True).alias("outgoing")), F.struct(F.col("y").alias("entity"), F.col("x").alias("other"), F.lit(False).alias("outgoing"))))
+    return rows.select("attribute", both.alias("r")).select("r.entity", "attribute", "r.other", "r.outgoing").distinct()

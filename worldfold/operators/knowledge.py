@@ -41,6 +41,13 @@ def events(s: Snapshot, canon: DataFrame, frame: str = "canon", since: float | N
     return out
 
 
+def participation(s: Snapshot, canon: DataFrame, frame: str = "canon") -> DataFrame:
+    """(entity, event, role, t): who took part in what, and as what."""
+    rows = event_rows(s, frame).where((F.col("value_type") == "entity") & F.col("entity").startswith("event:") & (F.col("attribute") != "caused_by"))
+    rows = resolved(rows.withColumn("who", text_of(F.col("value"))), canon, "who", "known")
+    return rows.groupBy(F.col("known").alias("entity"), F.col("entity").alias("event"), F.col("attribute").alias("role")).agg(F.max("valid_from").alias("t"))
+
+
 def causes(s: Snapshot) -> DataFrame:
     """(id, event): rows and the events that caused them."""
     rows = visible(s, (F.col("attribute") == "caused_by") & F.col("entity").startswith("a:"))

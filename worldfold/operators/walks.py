@@ -74,11 +74,16 @@ def numeric(folded: DataFrame) -> DataFrame:
 
 def where(folded: DataFrame, attribute: str, op: str, value: float, frame: str = "canon") -> DataFrame:
     """(entity, number) of the entities whose folded number compares so."""
-    n, v = F.col("number"), float(value)
+    try:
+        v = float(value)
+    except (TypeError, ValueError):  # nothing compares with what is no number
+        v = float("nan")
+    n = F.col("number")
     test = {">=": n >= v, ">": n > v, "<=": n <= v, "<": n < v, "==": n == v}
     if op not in test:
         raise ValueError(f"not a comparison: {op}")
-    return numeric(folded).where((F.col("attribute") == attribute) & (F.col("frame") == frame) & test[op]).select("entity", "number")
+    told = F.lit(v == v) & (F.col("attribute") == attribute) & (F.col("frame") == frame)
+    return numeric(folded).where(told & test[op]).select("entity", "number")
 
 
 def aggregate(folded: DataFrame, attribute: str, frame: str = "canon", recursive: bool = False) -> DataFrame:
@@ -122,6 +127,8 @@ def shortest(edges: DataFrame, pairs: DataFrame) -> DataFrame:
                 break
             seen = written(seen.union(front), "seen")
             open_ = left
+        else:
+            raise RuntimeError(f"ways of more than {DEEPEST} steps")
         return kept(pairs.join(seen.withColumnRenamed("at", "b"), ["a", "b"], "left").select("a", "b", "path"), "paths")
 
 

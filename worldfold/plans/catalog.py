@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import content_tokens, text_of
-from ..operators import classify, fold, identity, knowledge, trust, visible, walks
+from ..operators import classify, corrections, fold, identity, knowledge, trust, visible, walks
 from ..operators.semantics import Policy
 from ..operators.visible import Snapshot
 from ..schema import CONTAINED
@@ -498,3 +498,89 @@ def current_state(spark, d):
     folded = fold.fold(s, POLICY, identity.canon_map(s))
     shown = F.when(F.col("attribute") == CONTAINED, "in").otherwise(F.col("attribute"))
     return folded.select("entity", shown.alias("attribute"), "frame", "branch", "winner_id", "winner_value", "conflicted", F.size("members").alias("n_members"), F.round("quantity", 4).alias("quantity"))
+
+
+#: A transaction amid those of the events table.
+ASSERTED = 40000002000
+
+
+@query(
+    _LOG + f"""x as (select * from log l where status <> 'retracted' and {_AT} and asserted_at <= {ASSERTED} and not exists (select 1 from log r where r.attribute = 'retracts' and r.entity = l.id and r.asserted_at <= {ASSERTED}))
+select attribute, frame, count(*) as n, max(seq) as last from x group by 1, 2"""
+)
+def visible_asserted_asof(spark, d):
+    s = Snapshot(stored_log(spark, d), T, ASSERTED)
+    return visible.visible(s).groupBy("attribute", "frame").agg(F.count("*").alias("n"), F.max("seq").alias("last"))
+
+
+@query(_LOG + "x as (select 1) select value_type, status, frame like 'knows:%' as known, count(*) as n, sum(seq % 1000003) as checked from log group by 1, 2, 3")
+def full_scan(spark, d):
+    log = stored_log(spark, d)
+    return log.groupBy("value_type", "status", F.col("frame").startswith("knows:").alias("known")).agg(F.count("*").alias("n"), F.sum(F.col("seq") % 1000003).alias("checked"))
+
+
+_FACETS = _VIS + """pairs as (select entity a, txt b from ev where attribute = 'same_as' union select entity, txt from ev where attribute = 'aka'),
+same as (select a, b from pairs union select b, a from pairs),
+reach(id, other) as (select a, a from same union select reach.id, same.b from reach join same on reach.other = same.a),
+seen as (select id, min(seq) as first from (select entity as id, seq from log union all select trim(value, '"'), seq from log where value_type = 'entity') group by id),
+canon as (select r.id, arg_min(r.other, (s.first, r.other)) as canon from reach r join seen s on s.id = r.other group by r.id),
+"""
+
+
+@query(
+    _FACETS + """k as (select v.*, coalesce(c.canon, v.entity) as who, coalesce(nullif(valid_from, 0), '-infinity'::double) as vf_or from ev v left join canon c on c.id = v.entity where attribute = 'mood'),
+top as (select who, frame, max((vf_or, asserted_at)) as t from k group by 1, 2),
+w as (select k.who, k.frame, k.valid_from from k join top on k.who = top.who and k.frame = top.frame and (k.vf_or, k.asserted_at) = top.t),
+tied as (select k.* from k join w on k.who = w.who and k.frame = w.frame and k.valid_from is not distinct from w.valid_from)
+select who as entity, frame, count(distinct value) > 1 as conflicted, case when count(distinct value) > 1 then arg_min(txt, asserted_at) else arg_max(txt, asserted_at) end as mood from tied group by 1, 2"""
+)
+def state_union(spark, d):
+    s = snapshot(spark, d, None)
+    rows = fold.fold(s, POLICY, identity.facet_map(s), where=F.col("attribute") == "mood")
+    return rows.select("entity", "frame", "conflicted", text_of(F.col("winner_value")).alias("mood"))
+
+
+@query(
+    _CANON + f"""r as (select coalesce(x.canon, v.entity) as x, coalesce(y.canon, v.txt) as y, attribute from vis v left join canon x on x.id = v.entity left join canon y on y.id = v.txt
+ where value_type = 'entity' and not entity like 'a:%' and not entity like 'attr:%' and attribute not in ('same_as', 'aka', 'maybe_same_as', 'distinct_from', 'kind', 'caused_by', 'source') and attribute not in {_CONTAIN})
+select distinct least(x, y) as a, greatest(x, y) as b, attribute from r where x <> y"""
+)
+def relating_edges(spark, d):
+    s = snapshot(spark, d)
+    return identity.relating_edges(s, identity.canon_map(s))
+
+
+@query(
+    _CANON + """r as (select coalesce(x.canon, v.entity) as x, coalesce(y.canon, v.txt) as y, attribute from vis v left join canon x on x.id = v.entity left join canon y on y.id = v.txt
+ where value_type = 'entity' and frame = 'canon' and not entity like 'a:%' and not entity like 'attr:%' and attribute <> 'source')
+select distinct x as entity, attribute, y as other, true as outgoing from r where x <> y union select distinct y, attribute, x, false from r where x <> y"""
+)
+def relation_neighbours(spark, d):
+    s = snapshot(spark, d)
+    return identity.relations(s, identity.canon_map(s))
+
+
+@query(
+    _CANON + """r as (select coalesce(c.canon, e.txt) as who, e.* from ev e left join canon c on c.id = e.txt where e.entity like 'event:%' and value_type = 'entity' and frame = 'canon' and attribute <> 'caused_by')
+select who as entity, entity as event, attribute as role, max(valid_from) as t from r group by 1, 2, 3"""
+)
+def event_participation(spark, d):
+    s = snapshot(spark, d, None)
+    return knowledge.participation(s, identity.canon_map(s))
+
+
+@query(
+    _CANON + """k as (select e.id, e.seq, coalesce(c.canon, e.entity) as who, e.frame from ev e left join canon c on c.id = e.entity where attribute = 'mood')
+select id, lag(id) over (partition by who, frame order by seq) as prior from k"""
+)
+def correction_priors(spark, d):
+    s = snapshot(spark, d, None)
+    return corrections.priors(fold.keyed(s, POLICY, identity.canon_map(s), where=F.col("attribute") == "mood"))
+
+
+@query(
+    _VIS + """x as (select entity, attribute, value_type, value, frame, count(*) - 1 as twins from ev where not entity like 'a:%' and not entity like 'attr:%' group by all having count(*) > 1)
+select e.id, x.twins from ev e join x using (entity, attribute, value_type, value, frame)"""
+)
+def duplicate_twins(spark, d):
+    return corrections.twins(snapshot(spark, d, None))

@@ -93,6 +93,18 @@ class World:
         self._say((a, "same_as", "entity", b, "canon", "stated"), *([(f"a:{dumps.head(self.log) + 1}", "evidence", "literal", evidence, "canon", "stated")] if evidence else []))
         return "merged"
 
+    def maybe_same_as(self, a: str, b: str) -> None:
+        """Propose that two are one; confirm() or reject() decides."""
+        self._say((a, "maybe_same_as", "entity", b, "canon", "stated"))
+
+    def confirm(self, a: str, b: str, evidence: str = "") -> str:
+        """Merge two that were proposed as one; no_proposal where nobody did."""
+        names = {r["id"]: r["canon"] for r in self.canon.where(F.col("id").isin(a, b)).collect()}
+        x, y = sorted((names.get(a, a), names.get(b, b)))
+        if x != y and not identity.proposed(self.at(), self.canon).where((F.col("a") == x) & (F.col("b") == y)).limit(1).count():
+            return "no_proposal"
+        return self.merge(a, b, evidence)
+
     def reject(self, a: str, b: str) -> None:
         self._say((a, "distinct_from", "entity", b, "canon", "stated"))
 
@@ -114,6 +126,22 @@ class World:
         names = self.canon.where(F.col("id") == entity).select("canon").first()
         return self.folded(as_of).where((F.col("entity") == (names[0] if names else entity)) & (F.col("attribute") == shown) & (F.col("frame") == frame))
 
+    def state_union(self, entity: str, attribute: str, frame: str = "canon", as_of: float | None = None) -> DataFrame:
+        """state() over all facets that aka joins with the entity at the time."""
+        s = self.at(as_of)
+        facets = identity.facet_map(s)
+        shown = CONTAINED if attribute in self.policy.containment else attribute
+        names = facets.where(F.col("id") == entity).select("canon").first()
+        return folds.fold(s, self.policy, facets).where((F.col("entity") == (names[0] if names else entity)) & (F.col("attribute") == shown) & (F.col("frame") == frame))
+
+    def charter(self, as_of: float | None = None) -> DataFrame:
+        """(attribute, value): what the world says of itself."""
+        return self.folded(as_of).where((F.col("entity") == self.world_id) & (F.col("frame") == "canon")).select("attribute", F.col("winner_value").alias("value")).orderBy("attribute")
+
+    def open_conflicts(self, as_of: float | None = None) -> DataFrame:
+        """(entity, attribute, frame, kind) of every key whose rows contradict one another."""
+        return folds.conflicts(self.folded(as_of)).orderBy("entity", "attribute", "frame")
+
     def snapshot(self, scope: list[str], frame: str = "canon", as_of: float | None = None) -> DataFrame:
         folded = kept(self.folded(as_of), "fold")
         roots = self.spark.createDataFrame([(e,) for e in scope], "entity string")
