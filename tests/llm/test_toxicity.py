@@ -178,3 +178,22 @@ def test_learned_terms_catch_what_was_held_out(spark):
     assert sum(k in found for k in held if k % 5) <= 2
     assert t.learn(docs, told.limit(0)) == {} and t.learn(docs.limit(0), told) == {}
     assert t.without_toxic(docs, labels=told).count() == 600 - len(found)
+
+
+def test_copies_among_labelled_documents_teach_once(spark):
+    """Near copies of one toxic text make no terms of its rare words; texts that differ do."""
+    import random
+
+    rng, rows = random.Random(8), []
+    base = [f"rare{k}" for k in range(200)]
+    for k in range(12):
+        near = list(base)
+        near[rng.randrange(200)] = f"edit{k}"
+        rows.append((k, " ".join(near) + " grolmx", "xx", 1))
+    for k in range(12, 24):
+        rows.append((k, " ".join(f"w{rng.randrange(5000)}" for _ in range(60)) + " grolmx", "xx", 1))
+    for k in range(24, 224):
+        rows.append((k, " ".join(f"w{rng.randrange(5000)}" for _ in range(60)), "xx", 0))
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    assert set(t.learn(table.drop("toxic").union(table.drop("toxic")), table.select("doc_id", "toxic"))) == {"grolmx"}
+    assert t._apart([(1, "a", [5, 6]), (2, "a", [6, 7]), (3, "a", [7, 8]), (4, "b", [5, 8]), (5, "a", [9, 9])]) == {1, 4, 5}

@@ -15,25 +15,27 @@ or is in a term of 8 letters or more); and a near word that the corpus itself ha
 own and no hit at all. A term with a plural s is an exact hit.
 
 The terms come from a short list of strong ones and, where ``labels`` are given, from them: words that toxic documents of a
-language have far more often than clean ones of any language (log odds over whole texts). A learned term alone is never
+language have far more often than clean ones of any language (log odds over whole texts). Copies and near copies among the
+labelled documents teach once, or every rare word of a copied toxic text would be a term. A learned term alone is never
 enough, whoever is addressed: two must meet within the span, as chance brings single ones into clean texts too.
 
 Defined cases: a null or empty text has no hit and is not toxic; repeated rows and ties are judged row by row, a null
 doc_id is passed through; an empty table gives an empty result, and empty labels teach nothing; a doc_id labelled twice is toxic
-if one label says so; very long texts are judged whole, span by span; any further columns are ignored or passed through.
+if one label says so, and teaches by the first of its texts in order; very long texts are judged whole, span by span; any further columns are ignored or passed through.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass, field, replace
 from itertools import groupby
 from math import log
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -174,6 +176,33 @@ class Learning:
     terms: int = 500
 
 
+def _bands(text: str, bands: int = 6, rows: int = 3) -> list[int]:
+    """Min-hashes of the runs of three words, ``rows`` to a band: near copies agree in some band, others hardly ever."""
+    found = _WORD.findall(text.lower())
+    runs = {" ".join(found[i : i + 3]) for i in range(max(1, len(found) - 2))}
+    base = np.fromiter((xxhash.xxh64_intdigest(x) for x in runs), np.uint64, len(runs))
+    least = [int(((base ^ np.uint64(xxhash.xxh64_intdigest(str(k)))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(8)).min()) for k in range(bands * rows)]
+    return [hash((b, *least[b * rows : b * rows + rows])) for b in range(bands)]
+
+
+def _apart(rows: Iterable[tuple[int, tuple, list[int]]]) -> frozenset:
+    """The least id of every class of (id, kind, bands) that are of one kind and linked by equal bands."""
+    root: dict[int, int] = {}
+    first: dict[tuple, int] = {}
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for i, kind, bands in rows:
+        root[i] = i
+        for band in bands:
+            a, b = sorted((top(i), top(first.setdefault((kind, band), i))))
+            root[b] = a
+    return frozenset(i for i in root if root[i] == i)
+
+
 def learn(docs: DataFrame, labels: DataFrame, how: Learning = Learning(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic") -> dict[str, float]:
     """Terms and severities told by ``labels``: a classifier's weights, fitted on at most ``how.documents`` whole documents."""
     lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
@@ -181,20 +210,28 @@ def learn(docs: DataFrame, labels: DataFrame, how: Learning = Learning(), id_col
     told = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(how.documents)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(lang, F.lit("")).alias("lang")).where("text is not null")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lang, text, toxic in zip(*(batch.column(c).to_pylist() for c in ("lang", "text", "toxic"))):
-                counts.update((lang, toxic, word) for word in {None, *_WORD.findall(text.lower())})
-        lang, toxic, word = zip(*counts) if counts else ((), (), ())
-        n = np.array(list(counts.values()), np.int64)
-        bad = np.array(toxic, bool)
-        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(word, pa.string()), pa.array(np.where(bad, n, 0)), pa.array(np.where(bad, 0, n))], names=["lang", "word", "bad", "good"])
+            yield batch.drop_columns(["text"]).append_column("bands", pa.array([_bands(t) for t in batch.column("text").to_pylist()], pa.list_(pa.int64())))
 
     with scratch(docs.sparkSession):
         told = F.broadcast(written(told, "labelled"))  # how.documents rows at most
-        seen = slim.join(told, "doc_id").select("lang", "text", "toxic").mapInArrow(run, "lang string, word string, bad long, good long")
-        counts = written(seen.groupBy("lang", "word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")), "words")
+        one = slim.join(told, "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("t"), F.max("toxic").alias("toxic"))
+        seen = written(one.select("doc_id", "t.lang", "toxic", "t.text"), "texts")
+        apart = _apart((r["doc_id"], (r["lang"], r["toxic"]), r["bands"]) for r in seen.mapInArrow(places, "doc_id long, lang string, toxic boolean, bands array<long>").collect())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts: Counter = Counter()
+            for batch in batches:
+                for key, lang, toxic, text in zip(*(c.to_pylist() for c in batch.columns)):
+                    if key in apart:
+                        counts.update((lang, toxic, word) for word in {None, *_WORD.findall(text.lower())})
+            lang, toxic, word = zip(*counts) if counts else ((), (), ())
+            n = np.array(list(counts.values()), np.int64)
+            bad = np.array(toxic, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(word, pa.string()), pa.array(np.where(bad, n, 0)), pa.array(np.where(bad, 0, n))], names=["lang", "word", "bad", "good"])
+
+        counts = written(seen.mapInArrow(run, "lang string, word string, bad long, good long").groupBy("lang", "word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")), "words")
         total = {r["lang"]: (r["bad"], r["good"]) for r in counts.where("word is null").collect()}
         if not any(bad for bad, _ in total.values()):
             return {}
