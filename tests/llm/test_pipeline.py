@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 from worldfold.llm import bpe, decontaminate, jaccard_join, toxicity
 from worldfold.llm.queries import RANKS
@@ -55,3 +57,13 @@ def test_stages_pass_all_columns_on(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, none, str(tmp_path)).columns == none.columns
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_of_one_text_are_dropped_without_listing_their_pairs(spark, monkeypatch):
+    rows = test_jaccard_join.near_copies(random.Random(15), 1000, 90, 5)
+    listed, verified = [], jaccard_join._verified
+    monkeypatch.setattr(jaccard_join, "_verified", lambda docs, candidates, *rest: (listed.append(candidates.count()), verified(docs, candidates, *rest))[1])
+    left = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert [r["doc_id"] for r in left.collect()] == [1000]
+    different = len({t for _, t in rows})  # a few that stand in too few long lists have no hub
+    assert different > 64 and listed[0] < different * (different - 1) / 2 / 10
