@@ -31,8 +31,9 @@ def decoded(text: str) -> object:
 
 
 def text_of(value: Column) -> Column:
-    """The content of a JSON string; null for other values."""
-    return F.when(value.startswith('"'), F.get_json_object(value, "$"))
+    """The content of a JSON string; null for other values. One without escapes is cut out, not parsed."""
+    plain = F.when(value.rlike(r'^"[^"\\\x00-\x1f]*"\z'), value.substr(F.lit(2), F.length(value) - 2))
+    return F.when(value.startswith('"'), F.coalesce(plain, F.get_json_object(value, "$")))
 
 
 def number_of(value: Column) -> Column:

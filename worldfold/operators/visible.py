@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import META
+from .sizes import hinted
 
 
 @dataclass(frozen=True)
@@ -35,15 +36,15 @@ def asserted_by(n: int | None) -> Column:
 
 def retracted_ids(s: Snapshot) -> DataFrame:
     """Targets of retractions. A retraction's own status, frame and valid time don't matter, so it can't be taken back."""
-    return s.log.where((F.col("attribute") == "retracts") & asserted_by(s.asserted_as_of)).select(F.col("entity").alias("id")).distinct()
+    return s.log.where((F.col("attribute") == "retracts") & asserted_by(s.asserted_as_of)).select(F.col("entity").alias("id"))
 
 
 def visible(s: Snapshot, where: Column | None = None) -> DataFrame:
-    """Rows of the log that hold at the snapshot. ``where`` is pushed below the anti-join, into the scan."""
+    """Rows of the log that hold at the snapshot. ``where`` is pushed below the anti-join, into the scan; unless retractions are very many, nothing is shuffled."""
     rows = s.log.where((F.col("status") != "retracted") & valid_at(s.valid_as_of) & asserted_by(s.asserted_as_of))
     if where is not None:
         rows = rows.where(where)
-    return rows.join(retracted_ids(s), "id", "left_anti")
+    return rows.join(hinted(retracted_ids(s), s.log, "retracts"), "id", "left_anti")
 
 
 def is_domain() -> Column:

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.sizes import spread, total
+
 _DAY = {
     "spark": "(timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {c}) / 86400000000D)",
     "duckdb": "(epoch_us({c}) / 86400000000.0)",
@@ -104,7 +106,10 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def sample_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(log_sql("spark"), **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES})
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
+    # Lines are numbered within their order, in as many tasks as keep the sort of each in memory.
+    tables["lineitem"] = spread(tables["lineitem"], total(tables["lineitem"]), "l_orderkey")
+    return spark.sql(log_sql("spark"), **tables)
 
 
 def duckdb_log() -> str:
