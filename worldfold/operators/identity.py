@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.values import content_tokens, text_of
 from ..schema import CONTAINMENT, META
 from ..storage import written
+from .sizes import BROADCAST_ROWS, spread, total
 from .visible import Snapshot, is_domain, visible
 
 
@@ -35,16 +36,17 @@ def components(pairs: DataFrame) -> DataFrame:
             return labels
 
 
-def first_seen(s: Snapshot) -> DataFrame:
-    """(id, first): the first row that mentions an entity, as subject or as value."""
+def first_seen(s: Snapshot, ids: DataFrame) -> DataFrame:
+    """(id, first): the first row that mentions each of ``ids`` (id), a written table, as subject or as value. Only rows that do are grouped."""
+    wanted = F.broadcast(ids.select("id")) if ids.count() <= BROADCAST_ROWS else ids.select("id")
     rows = s.log.select(F.col("entity").alias("id"), "seq").union(s.log.where("value_type = 'entity'").select(text_of(F.col("value")), "seq"))
-    return rows.groupBy("id").agg(F.min("seq").alias("first"))
+    return rows.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("seq").alias("first"))
 
 
 def canon_map(s: Snapshot) -> DataFrame:
     """(id, canon) of entities that others are the same as: the member seen first stands for all. At the log's head, in all frames."""
     roots = components(edges(Snapshot(s.log), "same_as"))
-    seen = first_seen(s).join(roots, "id")
+    seen = first_seen(s, roots).join(roots, "id")
     canon = seen.groupBy("root").agg(F.min_by("id", F.struct("first", "id")).alias("canon"))
     return written(roots.join(canon, "root").select("id", "canon"), "canon")
 
@@ -97,7 +99,8 @@ def blocks(s: Snapshot, canon: DataFrame) -> DataFrame:
     rows = visible(s, where).select("entity", text_of(F.col("value")).alias("other"), "attribute")
     rows = resolved(resolved(rows, canon, "entity", "x"), canon, "other", "y").where("x <> y")
     reason = F.when(F.col("attribute") == "distinct_from", "distinct").otherwise("containment")
-    return rows.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), reason.alias("reason")).distinct()
+    pairs = rows.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), reason.alias("reason"))
+    return spread(pairs, total(s.log), "a", "b").distinct()
 
 
 def relating_edges(s: Snapshot, canon: DataFrame) -> DataFrame:
@@ -105,7 +108,7 @@ def relating_edges(s: Snapshot, canon: DataFrame) -> DataFrame:
     skip = ("same_as", "aka", "maybe_same_as", "distinct_from", "kind", "caused_by", *CONTAINMENT, *META)
     rows = visible(s, ~F.col("attribute").isin(*skip) & (F.col("value_type") == "entity") & is_domain()).select("entity", text_of(F.col("value")).alias("other"), "attribute")
     rows = resolved(resolved(rows, canon, "entity", "x"), canon, "other", "y").where("x <> y")
-    return rows.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "attribute").distinct()
+    return spread(rows.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "attribute"), total(s.log), "a", "b").distinct()
 
 
 def merge_candidates(s: Snapshot, canon: DataFrame, frame: str = "canon") -> DataFrame:
@@ -133,7 +136,7 @@ def facet_map(s: Snapshot) -> DataFrame:
     """(id, canon): as canon_map(), but facets that aka joins at the snapshot stand together as well; for folds over all of one's facets."""
     pairs = edges(Snapshot(s.log), "same_as").union(edges(s, "aka"))
     roots = components(pairs)
-    seen = first_seen(s).join(roots, "id")
+    seen = first_seen(s, roots).join(roots, "id")
     canon = seen.groupBy("root").agg(F.min_by("id", F.struct("first", "id")).alias("canon"))
     return written(roots.join(canon, "root").select("id", "canon"), "facets")
 
@@ -149,4 +152,5 @@ def relations(s: Snapshot, canon: DataFrame, frame: str = "canon") -> DataFrame:
     rows = visible(s, (F.col("frame") == frame) & (F.col("value_type") == "entity") & is_domain() & ~F.col("attribute").isin(*META)).select("entity", "attribute", text_of(F.col("value")).alias("other"))
     rows = resolved(resolved(rows, canon, "entity", "x"), canon, "other", "y").where("x <> y")
     both = F.explode(F.array(F.struct(F.col("x").alias("entity"), F.col("y").alias("other"), F.lit(True).alias("outgoing")), F.struct(F.col("y").alias("entity"), F.col("x").alias("other"), F.lit(False).alias("outgoing"))))
-    return rows.select("attribute", both.alias("r")).select("r.entity", "attribute", "r.other", "r.outgoing").distinct()
+    ends = rows.select("attribute", both.alias("r")).select("r.entity", "attribute", "r.other", "r.outgoing")
+    return spread(ends, 2 * total(s.log), "entity", "other").distinct()

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.values import equal_key, text_of
 from ..schema import CONTAINED
+from ..storage import kept
 from .classify import classified
 from .identity import resolved
+from .sizes import spread, total
 from .visible import Snapshot, visible
 
 ROLES = ("kind", "agent", "patient", "origin", "destination", "manner", "complete")
@@ -45,7 +47,8 @@ def participation(s: Snapshot, canon: DataFrame, frame: str = "canon") -> DataFr
     """(entity, event, role, t): who took part in what, and as what."""
     rows = event_rows(s, frame).where((F.col("value_type") == "entity") & F.col("entity").startswith("event:") & (F.col("attribute") != "caused_by"))
     rows = resolved(rows.withColumn("who", text_of(F.col("value"))), canon, "who", "known")
-    return rows.groupBy(F.col("known").alias("entity"), F.col("entity").alias("event"), F.col("attribute").alias("role")).agg(F.max("valid_from").alias("t"))
+    rows = spread(rows.select(F.col("known").alias("entity"), F.col("entity").alias("event"), F.col("attribute").alias("role"), "valid_from"), total(s.log), "event")
+    return rows.groupBy("entity", "event", "role").agg(F.max("valid_from").alias("t"))
 
 
 def causes(s: Snapshot) -> DataFrame:
@@ -99,7 +102,7 @@ def frame_diff(folded: DataFrame, canon: DataFrame, a: str, *b: str) -> DataFram
 
     A key that none has is absent (divergent false); else it diverges, and the latest other value is shown. Of sets, members are compared.
     """
-    held = _held(folded, canon)
+    held = kept(_held(folded, canon).where(F.col("frame").isin(a, *b)), "held")
     one, rest = held.where(F.col("frame") == a), held.where(F.col("frame").isin(*b))
     order = F.struct(F.coalesce("winner_from", F.lit(float("-inf"))), F.regexp_replace("winner_id", "^a:", "").cast("long"))
     there = rest.where("branch <> 'set'").groupBy("entity", "attribute").agg(F.collect_set("same").alias("all"), F.max_by("value", order).alias("other"))
