@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 from ..functions.values import number_of, text_of
 from ..schema import CONTAINED, LATERAL, META
 from ..storage import kept, scratch, written
+from .sizes import spread, total
 from .visible import Snapshot, is_domain, visible
 
 #: Steps after which a walk gives up; folds have one parent each, so only absurdly deep trees are cut, with an error.
 DEEPEST = 1000
 
 
+def told(folded: DataFrame) -> DataFrame:
+    """What walks and rollups read of folds, written, for those that read it more than once: a fold is made once."""
+    return written(folded.select("entity", "attribute", "frame", "branch", "winner_value", "winner_type", "conflicted", "quantity"), "folds")
+
+
 def parents(folded: DataFrame, attribute: str = CONTAINED) -> DataFrame:
     """(child, parent, frame, conflicted, branch) of folded single-parent edges: containment, or ``part_of``."""
     rows = folded.where((F.col("attribute") == attribute) & (F.col("winner_type") == "entity"))
@@ -177,7 +183,8 @@ def former_passages(s: Snapshot, frame: str = "canon") -> DataFrame:
 def incoming(s: Snapshot, frame: str = "canon") -> DataFrame:
     """(target, n): distinct subjects that refer to an entity."""
     rows = visible(s, (F.col("frame") == frame) & (F.col("value_type") == "entity") & is_domain() & ~F.col("attribute").isin(*META))
-    return rows.groupBy(text_of(F.col("value")).alias("target")).agg(F.count_distinct("entity").alias("n"))
+    pairs = spread(rows.select(text_of(F.col("value")).alias("target"), "entity"), total(s.log), "target", "entity").distinct()
+    return pairs.groupBy("target").agg(F.count("entity").alias("n"))
 
 
 def neighborhood(s: Snapshot, folded: DataFrame, start: DataFrame, ranking: DataFrame, depth: int = 1, max_fanout: int = 64, frame: str = "canon") -> DataFrame:

@@ -13,7 +13,7 @@ from ..operators.semantics import Policy
 from ..operators.visible import Snapshot
 from ..schema import CONTAINED
 from ..sources.sample_world import ACCRUES, duckdb_log, sample_log
-from ..storage import exists, kept
+from ..storage import UNLISTED, exists, kept
 
 #: The day that as-of queries read the sample world at.
 T = 10500.0
@@ -51,7 +51,7 @@ def stored_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sample world's log, ingested once in a session and read from its table ever after, as a log is."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STORED or not exists(spark, _STORED[key].inputFiles()[0]):
-        _STORED[key] = kept(sample_log(spark, sf_dir), "log")
+        _STORED[key] = kept(sample_log(spark, sf_dir), "log", **UNLISTED)
     return _STORED[key]
 
 
@@ -61,7 +61,7 @@ def snapshot(spark: SparkSession, sf_dir: str, t: float | None = T) -> Snapshot:
 
 def no_canon(s: Snapshot) -> DataFrame:
     """For keys whose entities nothing is the same as."""
-    return s.log.sparkSession.createDataFrame([], "id string, canon string")
+    return s.log.sparkSession.sql("select '' as id, '' as canon where false")
 
 
 def places(s: Snapshot) -> DataFrame:
@@ -149,7 +149,7 @@ walk(node, anc, hop, chain) as (select child, parent, 1, parent from up union al
 @query(_VIS + _UP + ", best as (select node, arg_max(chain, hop) as chain, max(hop) as depth from walk group by 1) select node as entity, chain, cast(depth as bigint) as depth from best where node like 'obj:part%'")
 def locate_chain(spark, d):
     s = snapshot(spark, d)
-    folded = places(s)
+    folded = walks.told(places(s))
     start = folded.where(F.col("entity").startswith("obj:part")).select("entity")
     found = walks.locate(folded, start=start)
     return found.select("entity", F.array_join("chain", ">").alias("chain"), F.size("chain").cast("long").alias("depth"))
@@ -174,7 +174,7 @@ _ROLL = "count(*) as count, round(sum(x), 4) as sum, min(x) as min, max(x) as ma
 def _rollup(spark, d, recursive):
     s = snapshot(spark, d)
     folded = fold.fold(s, POLICY, no_canon(s), where=F.col("attribute").isin("retailprice", *POLICY.containment))
-    return walks.aggregate(folded, "retailprice", recursive=recursive).withColumn("sum", F.round("sum", 4)).withColumn("avg", F.round("avg", 6))
+    return walks.aggregate(walks.told(folded), "retailprice", recursive=recursive).withColumn("sum", F.round("sum", 4)).withColumn("avg", F.round("avg", 6))
 
 
 @query(_VIS + _UP + _PRICE + f" select parent as container, {_ROLL} from up join num on num.entity = up.child group by 1")
@@ -275,8 +275,7 @@ def _last(spark, d) -> tuple[Snapshot, DataFrame]:
 @query(_CANON + _CLASS + " select * from cw")
 def fold_source_class(spark, d):
     s, canon = _last(spark, d)
-    rows = fold.functional(fold.concrete(s, fold.keyed(s, POLICY, canon, where=F.col("attribute").startswith("last_"))))
-    return fold.class_winners(rows.where("strongest = 2")).select("entity", "attribute", "frame", "source_class", "last.id", "first_seq").withColumnRenamed("id", "winner_id")
+    return fold.class_winners(s, fold.keyed(s, POLICY, canon, where=F.col("attribute").startswith("last_")))
 
 
 _SERVED = _CLASS + """, one as (select cw.entity, cw.attribute, cw.frame, count(*) as classes, arg_min(winner_id, cast(replace(winner_id, 'a:', '') as bigint)) as first_id, string_agg(winner_id, ',' order by cast(replace(winner_id, 'a:', '') as bigint)) as ids, list(l.value) as vals, arg_min(l.value, cast(replace(winner_id, 'a:', '') as bigint)) as v0 from cw join log l on l.id = cw.winner_id group by cw.entity, cw.attribute, cw.frame)"""
@@ -459,7 +458,7 @@ def salience(spark, d):
 def budget_topk(spark, d):
     s = snapshot(spark, d)
     canon = identity.canon_map(s)
-    return trust.budgeted(fold.fold(s, POLICY, canon), trust.salience(s, POLICY, canon), 50).select("entity", "attribute", "winner_id")
+    return trust.budgeted(fold.fold(s, POLICY, canon).select("entity", "attribute", "branch", "winner_id"), trust.salience(s, POLICY, canon), 50).select("entity", "attribute", "winner_id")
 
 
 @query()
