@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions.values import number_of
 from ..schema import CONTAINED, META
+from ..storage import kept
 from .classify import classified
 from .fold import KEY, keyed
 from .identity import resolved
 from .semantics import Policy
+from .sizes import spread, total
 from .visible import Snapshot, is_domain, metas, visible
 from .walks import incoming
 
@@ -45,14 +47,16 @@ def confidence(s: Snapshot, policy: Policy, canon: DataFrame, folded: DataFrame,
         raise ValueError("now must be finite")
     rows = keyed(s, policy, canon)
     win = folded.where("branch not in ('set', 'accrue')").select(*KEY, "winner_id", "winner_status", "conflicted", "corroborated_by")
-    own = rows.select(F.col("id").alias("winner_id"), F.col("same").alias("w_same"), "confidence")
-    win = win.join(own, "winner_id", "left")
-    match = rows.select(*KEY, "id", "same", "source_class").join(win.select(*KEY, "w_same", "winner_id", "corroborated_by"), KEY)
-    counted = match.where((F.col("same") == F.col("w_same")) | (F.col("id") == F.col("winner_id")) | F.array_contains("corroborated_by", F.col("id")))
-    classes = counted.groupBy(*KEY).agg((F.count_distinct("source_class") - 1).alias("further"))
+    # A winner is a row of its key, so that all is found where the rows of a key lie.
+    own, per = F.col("id") == F.col("winner_id"), Window.partitionBy(*KEY)
+    match = win.join(rows.select(*KEY, "id", "same", "source_class", "confidence"), KEY, "left")
+    match = match.withColumns({"w_same": F.max(F.when(own, F.col("same"))).over(per), "confidence": F.max(F.when(own, F.col("confidence"))).over(per)})
+    counted = F.coalesce((F.col("same") == F.col("w_same")) | own | F.array_contains("corroborated_by", F.col("id")), F.lit(False))
+    served = [*KEY, "winner_status", "conflicted", "confidence"]
+    classes = match.groupBy(*served, "source_class").agg(F.max(counted.cast("int")).alias("hit")).groupBy(*served).agg(F.greatest(F.sum("hit") - 1, F.lit(0)).alias("further"))
     given = F.coalesce(*[F.when(F.col("winner_status") == k, F.lit(v)) for k, v in PROVENANCE.items()], F.lit(0.3))
     clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence")))
-    out = win.join(classes, KEY, "left").withColumn("provenance", F.when(F.col("confidence").isNull(), given).otherwise(F.least(given, clamped)))
+    out = classes.withColumn("provenance", F.when(F.col("confidence").isNull(), given).otherwise(F.least(given, clamped)))
     out = out.withColumn("corroboration", F.log1p(F.coalesce("further", F.lit(0)).cast("double")) / F.lit(math.log1p(4)))
     if now is None:
         out = out.withColumn("recency", F.lit(1.0)).withColumn("recency_state", F.lit("permanent"))
@@ -85,17 +89,16 @@ def salience(s: Snapshot, policy: Policy, canon: DataFrame, frame: str = "canon"
     0.40 how late it was last spoken of, 0.25 how many refer to it, 0.20 at how many times something is said of it, 0.15 whether a
     state of it has changed since its first.
     """
-    rows = visible(s, (F.col("frame") == frame) & is_domain() & ~F.col("attribute").isin(*META))
-    rows = resolved(rows, canon, "entity", "canon")
+    rows = resolved(classified(visible(s, (F.col("frame") == frame) & is_domain() & ~F.col("attribute").isin(*META))), canon, "entity", "canon")
+    moment = F.when(F.expr("durability = 'STATE' and value_type <> 'delta'"), F.struct(F.coalesce("valid_from", F.lit(float("-inf"))).alias("t"), "asserted_at"))
+    rows = spread(rows.select(F.col("canon").alias("entity"), policy.fold_attribute().alias("attribute"), "valid_from", "asserted_at", moment.alias("moment")), total(s.log), "entity")
+    per = Window.partitionBy("entity", "attribute")
+    rows = rows.withColumn("changed", F.max("moment").over(per) > F.min("moment").over(per))
     head = s.log.agg(F.coalesce(F.max("asserted_at"), F.lit(1)).alias("head"))
-    each = rows.groupBy(F.col("canon").alias("entity")).agg(F.max("asserted_at").alias("last"), (F.count_distinct("valid_from") + F.max(F.col("valid_from").isNull().cast("int"))).alias("times"))
-    states = classified(rows).where("durability = 'STATE' and value_type <> 'delta'").groupBy(F.col("canon").alias("entity"), policy.fold_attribute().alias("attribute")).agg(
-        F.min(F.struct(F.coalesce("valid_from", F.lit(float("-inf"))), "asserted_at")).alias("lo"), F.max(F.struct(F.coalesce("valid_from", F.lit(float("-inf"))), "asserted_at")).alias("hi")
-    )
-    changed = states.groupBy("entity").agg(F.max((F.col("hi") > F.col("lo")).cast("double")).alias("delta"))
+    each = rows.groupBy("entity").agg(F.max("asserted_at").alias("last"), (F.count_distinct("valid_from") + F.max(F.col("valid_from").isNull().cast("int"))).alias("times"), F.max(F.col("changed").cast("double")).alias("delta"))
     log8: Column = F.lit(math.log1p(8))
     refs = resolved(incoming(s, frame), canon, "target", "canon").groupBy(F.col("canon").alias("entity")).agg(F.sum("n").alias("n"))
-    out = each.join(refs, "entity", "left").join(changed, "entity", "left").crossJoin(F.broadcast(head))
+    out = each.join(refs, "entity", "left").crossJoin(F.broadcast(head))
     out = out.select(
         "entity", (F.col("last") / F.col("head")).alias("recency"), F.least(F.lit(1.0), F.log1p(F.coalesce("n", F.lit(0)).cast("double")) / log8).alias("references"),
         F.least(F.lit(1.0), F.log1p(F.col("times").cast("double")) / log8).alias("reinforcement"), F.coalesce("delta", F.lit(0.0)).alias("delta"),
@@ -108,6 +111,7 @@ def budgeted(facts: DataFrame, ranking: DataFrame, budget: int, by: list[str] |
     rows = facts.join(ranking.select("entity", "salience"), "entity", "left").withColumn("exempt", F.col("branch") == "constitutive")
     order = [F.coalesce("salience", F.lit(0.0)).desc(), F.regexp_replace("winner_id", "^a:", "").cast("long").desc()]
     if by is None:  # a top-k: every partition keeps its own first
+        rows = kept(rows, "ranked")
         top = rows.where("not exempt").orderBy(*order).limit(budget)
         return rows.where("exempt").union(top).drop("exempt")
     k = F.row_number().over(Window.partitionBy(*by, "exempt").orderBy(*order))
